@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .secret_scan import secret_report
+from .sharding import shard
 from .token_output import token_output
 
 
@@ -16,6 +19,18 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_token_output": op1_token_output}
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``, read back through the last manifest; ``shards`` tells how many files that names."""
+    dataset = shard(table(spark, sf_dir, "documents"), target_bytes=32 << 20)
+    return dataset.read().select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
 
-ORACLE: dict[str, str] = {}
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op6_sharding, op9_secret_scan)}
+
+ORACLE: dict[str, str] = {
+    "op6_sharding": "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents",
+}
