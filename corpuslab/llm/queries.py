@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .nearest import nearest
 from .secret_scan import secret_report
 from .sharding import shard
 from .token_output import token_output
+from .toxicity import toxicity_report
+from .url_filter import url_report
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,17 +22,29 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents``, read back through the last manifest; ``shards`` tells how many files that names."""
     dataset = shard(table(spark, sf_dir, "documents"), target_bytes=32 << 20)
     return dataset.read().select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_report(table(spark, sf_dir, "pages"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op6_sharding, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op5_nearest, op6_sharding, op7_toxicity, op8_url_filter, op9_secret_scan)}
 
 ORACLE: dict[str, str] = {
     "op6_sharding": "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents",
