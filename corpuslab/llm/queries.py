@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .nearest import nearest
 from .secret_scan import secret_report
 from .sharding import shard
+from .substring_dedup import repeat_report
 from .token_output import token_output
 from .toxicity import toxicity_report
 from .url_filter import url_report
@@ -44,7 +45,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op5_nearest, op6_sharding, op7_toxicity, op8_url_filter, op9_secret_scan)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op5_nearest, op6_sharding, op7_toxicity, op8_url_filter, op9_secret_scan, op10_substring_dedup)}
 
 ORACLE: dict[str, str] = {
     "op6_sharding": "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents",
