@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A match takes its whole run, so the least length can stand in these two patterns. In ASSIGN it can't: a short match uses up text.
 ACCESS, HEX = "AKIA[A-Z0-9]{14,}", "[0-9a-f]{16,}"
@@ -35,8 +37,12 @@ ENCODINGS = (
 BINS = 10_000
 
 
-def _matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """Matches from left to right: start and end in code points, the match, and a group of it."""
+def _matches(text: Column, pattern: str, guard: Column | None = None, group: int = 0) -> Column:
+    """Matches from left to right: start and end in code points, the match, and a group of it.
+
+    ``guard`` is cheaper than the pattern and holds for every text that has a match.
+    """
+    has = text.rlike(pattern) if guard is None else guard & text.rlike(pattern)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.arrays_zip(
         F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), F.length).alias("gap"),
@@ -51,57 +57,76 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["part"].alias("part")))).alias("out"))
 
     found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda a: a["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    return F.when(has, found).otherwise(empty)
 
 
 def _tail(z: Column) -> Column:
     """The two-sided p-value of a normal score (Abramowitz and Stegun 26.2.17, error below 1e-7)."""
-    z = F.abs(z)
-    t = 1 / (1 + 0.2316419 * z)
     fixed = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)  # fixed values of that formula
-    series = F.lit(0.0)
-    for b in reversed(fixed):
-        series = (series + b) * t
-    return F.least(F.lit(1.0), 2 * series * F.exp(-z * z / 2) / (2 * 3.141592653589793) ** 0.5)
 
+    def tail(z: Column, t: Column) -> Column:
+        series = F.lit(0.0)
+        for b in reversed(fixed):
+            series = (series + b) * t
+        return F.least(F.lit(1.0), 2 * series * F.exp(-z * z / 2) / (2 * 3.141592653589793) ** 0.5)
 
-def _p_value(values: Column, size: Column) -> Column:
-    """The battery's p-value of an array of symbol values (doubles) of an alphabet of ``size``."""
-    n = F.size(values).cast("double")
-    squares = F.aggregate(F.transform(F.array_distinct(values), lambda v: F.size(F.filter(values, lambda x: x == v))), F.lit(0.0), lambda a, c: a + c * c)
-    k = size - 1
-    chi = _tail((F.pow((size / n * squares - n) / k, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k)))
+    return _let(F.abs(z), lambda z: _let(1 / (1 + 0.2316419 * z), lambda t: tail(z, t)))
 
-    pairs = F.arrays_zip(F.slice(values, F.lit(1), F.size(values) - 1).alias("a"), F.slice(values, F.lit(2), F.size(values) - 1).alias("b"))
+
+def _let(value: Column, then) -> Column:
+    """``then`` of ``value``, which is computed once however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _chi(values: Column, size: Column, n: Column) -> Column:
+    squares = F.aggregate(F.array_distinct(values), F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter(values, lambda x: x == v)).cast("double"), F.lit(2)))
+    return _let(size - 1, lambda k: _let((F.pow((size / n * squares - n) / k, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k)), _tail))
+
+
+def _run(values: Column, pairs: Column, size: Column, n: Column) -> Column:
     high = F.size(F.filter(values, lambda v: 2 * v >= size)).cast("double")
     runs = 1 + F.size(F.filter(pairs, lambda p: (2 * p["a"] >= size) != (2 * p["b"] >= size)))
-    expected = 2 * high * (n - high) / n + 1
-    spread = (expected - 1) * (expected - 2) / (n - 1)
-    run = F.when(spread > 0, _tail((runs - expected) / F.sqrt(F.greatest(spread, F.lit(1e-9))))).otherwise(F.lit(0.0))
 
-    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
-    variance = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-    product = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
-    serial = F.when(variance > 0, _tail((product / F.greatest(variance, F.lit(1e-9)) + 1 / n) * F.sqrt(n))).otherwise(F.lit(0.0))
-    return F.least(F.lit(1.0), 3 * F.least(chi, run, serial))
+    def test(x: Column) -> Column:
+        spread = (x["expected"] - 1) * (x["expected"] - 2) / (n - 1)
+        return F.when(spread > 0, _let((x["runs"] - x["expected"]) / F.sqrt(F.greatest(spread, F.lit(1e-9))), _tail)).otherwise(F.lit(0.0))
+
+    return _let(F.struct(runs.alias("runs"), _let(high, lambda h: 2 * h * (n - h) / n + 1).alias("expected")), test)
+
+
+def _serial(values: Column, pairs: Column, n: Column) -> Column:
+    def test(mean: Column) -> Column:
+        variance = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
+        product = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
+        return _let(variance, lambda s: F.when(s > 0, _let((product / F.greatest(s, F.lit(1e-9)) + 1 / n) * F.sqrt(n), _tail)).otherwise(F.lit(0.0)))
+
+    return _let(F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n, test)
+
+
+def _p_value(values: Column, size: Column, n: Column) -> Column:
+    """The battery's p-value of an array of ``n`` symbol values (doubles) of an alphabet of ``size``."""
+    pairs = F.arrays_zip(F.slice(values, F.lit(1), F.size(values) - 1).alias("a"), F.slice(values, F.lit(2), F.size(values) - 1).alias("b"))
+    return _let(pairs, lambda p: F.least(F.lit(1.0), 3 * F.least(_chi(values, size, n), _run(values, p, size, n), _serial(values, p, n))))
 
 
 def _candidate(span: Column) -> Column:
     """Of a match of CANDIDATE: its class of lengths, its p-value (null without an encoding), the bits that it could carry."""
-    body = F.rtrim(span["hit"], F.lit("="))
-    symbols = F.lit(None).cast("string")
-    for pattern, alphabet in reversed(ENCODINGS):
-        symbols = F.when(body.rlike(pattern), F.lit(alphabet)).otherwise(symbols)
-    symbols = F.when(body.rlike("[0-9]") & body.rlike("[A-Za-z]"), symbols)
-    values = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: (F.instr(symbols, c) - 1).cast("double"))
-    size = F.length(symbols).cast("double")
-    return F.struct(
-        span["start"].alias("start"),
-        span["end"].alias("end"),
-        F.floor(F.log2(F.length(body))).cast("int").alias("class"),
-        F.when(symbols.isNotNull(), _p_value(values, size)).alias("p"),
-        (F.length(body) * F.log2(size)).alias("bits"),
-    )
+
+    def of(body: Column) -> Column:
+        symbols = F.lit(None).cast("string")
+        for pattern, alphabet in reversed(ENCODINGS):
+            symbols = F.when(body.rlike(pattern), F.lit(alphabet)).otherwise(symbols)
+        return _let(F.when(body.rlike("[0-9]") & body.rlike("[A-Za-z]"), symbols), lambda s: tested(body, s))
+
+    def tested(body: Column, symbols: Column) -> Column:
+        size, n = F.length(symbols).cast("double"), F.length(body).cast("double")
+        values = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: (F.instr(symbols, c) - 1).cast("double"))
+        p = _let(F.struct(values.alias("v"), size.alias("s"), n.alias("n")), lambda x: _let(x["v"], lambda v: _let(x["s"], lambda s: _let(x["n"], lambda n: _p_value(v, s, n)))))
+        return F.struct(
+            span["start"].alias("start"), span["end"].alias("end"), F.floor(F.log2(n)).cast("int").alias("class"), F.when(symbols.isNotNull(), p).alias("p"), (n * F.log2(size)).alias("bits")
+        )
+
+    return _let(F.rtrim(span["hit"], F.lit("=")), of)
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -111,9 +136,9 @@ def _spans(found: Column, kind: str) -> Column:
 def with_matches(docs: DataFrame, text: str, base: str, candidates: str) -> DataFrame:
     """``docs`` with the patterns' spans in column ``base`` and the candidates in column ``candidates``."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    assign = F.filter(_matches(whole, ASSIGN, 2), lambda x: F.length(x["part"]) >= 12)
-    spans = F.concat(_spans(assign, "assign"), _spans(_matches(whole, ACCESS), "access"), _spans(_matches(whole, HEX), "hex"))
-    tested = F.filter(F.transform(_matches(whole, CANDIDATE), _candidate), lambda c: c["p"].isNotNull())
+    assign = F.filter(_matches(whole, ASSIGN, whole.contains("=") | whole.contains(":"), 2), lambda x: F.length(x["part"]) >= 12)
+    spans = F.concat(_spans(assign, "assign"), _spans(_matches(whole, ACCESS, whole.contains("AKIA")), "access"), _spans(_matches(whole, HEX), "hex"))
+    tested = F.filter(F.transform(_matches(whole, CANDIDATE, whole.rlike("[0-9]")), _candidate), lambda c: c["p"].isNotNull())
     return docs.withColumns({base: F.array_sort(spans), candidates: tested})
 
 
@@ -139,13 +164,16 @@ def _random(base: Column, candidates: Column, cuts: Column, least_bits: float) -
     return _spans(kept, "random")
 
 
-def find_secrets(docs: DataFrame, *, text: str = "text", fdr: float = 0.05, least_bits: float = 80.0) -> DataFrame:
+def find_secrets(docs: DataFrame, *, text: str = "text", keep_text: bool = True, fdr: float = 0.05, least_bits: float = 80.0) -> DataFrame:
     """``docs`` with columns ``base`` and ``spans``: arrays of (start, kind, end) by start and kind, kinds counted as in KINDS.
 
-    All columns of ``docs`` stay (a column named like a new one is replaced). The thresholds come from all rows.
+    All columns of ``docs`` stay, the text only with ``keep_text`` (a column named like a new one is replaced). The
+    thresholds come from all rows, so what the patterns find is written once and read twice.
     """
+    docs = docs.drop("base", "spans", "_candidates", "_cuts")
     found = with_matches(docs, text, "base", "_candidates")
-    cuts = thresholds(with_matches(docs.select(text), text, "_base", "_candidates").select("_candidates"), fdr)
+    found = written(found if keep_text else found.drop(text), "matches")
+    cuts = thresholds(found.select("_candidates"), fdr)
     spans = F.array_sort(F.concat(F.col("base"), _random(F.col("base"), F.col("_candidates"), F.col("_cuts"), least_bits)))
     # One row with as many entries as there are classes of lengths.
     return found.crossJoin(F.broadcast(cuts.withColumnRenamed("cuts", "_cuts"))).withColumn("spans", spans).drop("_candidates", "_cuts")
@@ -159,7 +187,7 @@ def span_text(spans: Column) -> Column:
 
 def secret_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, counts by pattern, a digest of the patterns' spans, and all spans; one row for each row of ``docs``."""
-    found = find_secrets(docs.select("doc_id", "text"), **options)
+    found = find_secrets(docs.select("doc_id", "text"), keep_text=False, **options)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long")
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS[:3]), F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
