@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .near_dedup import near_duplicates
 from .nearest import nearest
 from .secret_scan import secret_report
 from .sharding import shard
@@ -23,6 +24,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -49,7 +54,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op5_nearest, op6_sharding, op7_toxicity, op8_url_filter, op9_secret_scan, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_near_dedup, op5_nearest, op6_sharding, op7_toxicity, op8_url_filter, op9_secret_scan, op10_substring_dedup)}
 
 ORACLE: dict[str, str] = {
     "op6_sharding": "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents",

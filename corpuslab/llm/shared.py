@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python worker handles at once.
 STEP_BYTES = 8 << 20
@@ -166,3 +167,109 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     before = np.cumsum(lengths) - lengths
     return np.arange(total) + np.repeat(starts - before, lengths)
+
+
+class Bitmap:
+    """A set of 64-bit integers by hash: ``2 ** bits`` bits whatever their number, which may hold too much but never too little."""
+
+    SLICE = 16
+
+    def __init__(self, packed: np.ndarray, bits: int):
+        self.packed, self.bits = packed, bits
+
+    @staticmethod
+    def slot(values: np.ndarray, bits: int) -> np.ndarray:
+        return (mixed(values.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    @classmethod
+    def of(cls, values: DataFrame, bits: int = 26) -> Bitmap:
+        """Of the one bigint column of ``values``. Executors set the bits of one slice each; the driver gets finished slices."""
+        size = 1 << (cls.SLICE - 3)
+
+        def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(cls.slot(batch.column(0).to_numpy(), bits)))], ["slot"])
+
+        def packed(key: tuple, table: pa.Table) -> pa.Table:
+            held = np.zeros(1 << cls.SLICE, bool)
+            held[table["slot"].to_numpy() & ((1 << cls.SLICE) - 1)] = True
+            return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(held).tobytes()])})
+
+        found = values.mapInArrow(slots, "slot bigint").distinct().withColumn("slice", F.shiftright("slot", cls.SLICE))
+        whole = np.zeros(1 << (bits - 3), np.uint8)
+        for r in found.groupBy("slice").applyInArrow(packed, "slice bigint, bits binary").toLocalIterator():
+            whole[r[0] * size : (r[0] + 1) * size] = np.frombuffer(r[1], np.uint8)
+        return cls(whole, bits)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        slot = self.slot(values, self.bits)
+        return (self.packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+class WordWeights:
+    """Relative inverse document frequencies of words, from 1 (in all documents) to 2 (in hardly any).
+
+    A fixed number of the most frequent words have their own weight; all others share the weight of the least frequent
+    of those. A shingle's weight in a document is how often it occurs there times the mean weight of its words. Words and
+    not shingles are weighed: a shingle that many copies share would else weigh next to nothing, and copies would not match.
+    """
+
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray, other: float):
+        order = np.argsort(hashes)
+        self.hashes, self.weights, self.other = hashes[order], weights[order], other
+
+    @classmethod
+    def of(cls, docs: DataFrame, text: str = "text", most: int = 1 << 18) -> WordWeights:
+        """From all rows of ``docs``; at most ``most`` words of at least two documents have their own weight."""
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in steps(batches, text, 32 << 20):
+                codes, offsets, vocabulary, hashes = plain_words(texts(batch, text))
+                row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+                pairs = np.unique(row * len(vocabulary) + codes) % max(len(vocabulary), 1)
+                df = np.bincount(pairs, minlength=len(vocabulary))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(df.astype(np.int64))], ["word", "df"])
+
+        rows = docs.count()
+        table = written(docs.select(text).mapInArrow(counted, "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df")).where("df > 1"), "words")
+        by_df = table.groupBy("df").agg(F.count("*").alias("n"))  # the least frequency that leaves at most ``most`` words
+        least = by_df.select("df", F.sum("n").over(Window.orderBy(F.desc("df"))).alias("n")).where(F.col("n") <= most).agg(F.min("df")).first()[0] or 2
+        found = table.where(F.col("df") >= least).toPandas()
+        weigh = lambda df: 1 + np.log((1 + rows) / (1 + np.minimum(df, rows))) / np.log(1 + max(rows, 1))
+        return cls(found["word"].to_numpy(np.int64).view(np.uint64), weigh(found["df"].to_numpy(np.float64)), float(weigh(np.float64(least if rows else 0))))
+
+    def of_words(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), self.other)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.weights[at], self.other)
+
+    def shingles(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, hash and weight of each distinct shingle of each text, by row."""
+        codes, offsets, _, hashes = plain_words(column)
+        found, at, row = shingles(hashes[codes], offsets)
+        weight = np.concatenate([[0.0], np.cumsum(self.of_words(hashes)[codes])])
+        end = np.minimum(at + SHINGLE_WORDS, offsets[row + 1])
+        mean = (weight[end] - weight[at]) / np.maximum(end - at, 1)
+        # Distinct by row: the row is mixed in, so that one sort of 64-bit integers does.
+        order = np.argsort(mixed(found + mixed(row.astype(np.uint64))))
+        found, row, mean = found[order], row[order], mean[order]
+        new = np.ones(len(found), bool)
+        new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(found)))
+        by_row = np.argsort(row[first], kind="stable")
+        return row[first][by_row], found[first][by_row], (mean[first] * count)[by_row]
+
+
+def weighted_jaccard(weights: WordWeights, a: pa.Array, b: pa.Array) -> np.ndarray:
+    """The weighted Jaccard similarity of the shingles of each text of ``a`` and the text of ``b`` beside it; 0 without shingles."""
+    n = len(a)
+    row, found, weight = weights.shingles(pa.concat_arrays([a, b]))
+    pair = row % n
+    order = np.lexsort((found, pair))
+    pair, found, weight = pair[order], found[order], weight[order]
+    same = np.flatnonzero((pair[1:] == pair[:-1]) & (found[1:] == found[:-1]))
+    both = np.bincount(pair[same], np.minimum(weight[same], weight[same + 1]), n)
+    total = np.bincount(pair, weight, n) - both
+    return np.where(total > 0, both / np.maximum(total, 1e-300), 0.0)
