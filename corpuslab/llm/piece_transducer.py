@@ -7,11 +7,12 @@ tropical semiring (weights add along a path, the least path wins).
 
 The model at hand merges pairs (BPE), which no sum of piece weights alone reproduces. But a sequence of pieces is what BPE
 makes of its text if and only if BPE leaves each two neighbours as they are; so the states of the piece transducer remember
-the last piece, and an arc whose piece BPE would not leave beside it has infinite weight. Those weights are found as arcs
+the last piece, an arc weighs 1, or is infinite if BPE would not leave its piece beside the last. Those weights are found as arcs
 are first met, and kept. The shortest path is then the library's encoding, which tests compare id by id.
 
 No piece holds a space after another character (checked when compiled), so all paths pass through the state before each
-run of spaces: an input is cut there, and the parts' shortest paths are kept for repeated parts.
+run of spaces, and through the one between two characters that stand side by side in no piece. An input is cut there, and
+the parts' shortest paths are kept for repeated parts.
 
 Null and empty texts have no ids. U+2581 is encoded as a space, as the library does; all else decodes to the text itself.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +59,7 @@ class PieceTransducer:
             raise ValueError("a piece spans a space")
         # The trie of the pieces: for each state (a prefix) whether it goes on.
         self.states = {p[:n] for p in self.ids for n in range(1, len(p))}
-        self.stable: dict[str, bool] = {}
+        self.joined = {(a, b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.paths: dict[str, tuple[int, ...]] = {}
         # What each id decodes to, as bytes.
@@ -78,59 +80,46 @@ class PieceTransducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _weight(self, last: str, piece: str) -> float:
-        """Of the arc of ``piece`` after ``last`` (empty: at the start)."""
-        if len(piece) > 1:
-            ok = self.stable.get(piece)
-            if ok is None:
-                ok = self.stable[piece] = self._merged(piece) == [piece]
-            if not ok:
-                return _INFINITE
-        if not last:
-            return 1.0
-        ok = self.pairs.get((last, piece))
-        if ok is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[last, piece] = self._merged(last + piece) == [last, piece]
-        return 1.0 if ok else _INFINITE
+    def _joins(self, last: str, piece: str) -> bool:
+        """Whether the arc of ``piece`` after ``last`` (empty: at the start) has a finite weight."""
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        ok = self.pairs[last, piece] = self._merged(last + piece) == ([last, piece] if last else [piece])
+        return ok
 
     def _fallback(self, character: str) -> list[int]:
         own = [self.bytes.get(b) for b in character.encode("utf-8", "surrogatepass")]
         return [self.unknown] if None in own else own
 
     def path(self, part: str) -> tuple[int, ...]:
-        """The ids of the shortest path through the lattice of ``part``, a normalised text without inner spaces."""
+        """The ids of the shortest path through the lattice of ``part``, a normalised text without a cut inside."""
         kept = self.paths.get(part)
         if kept is not None:
             return kept
         n = len(part)
-        ids, states = self.ids, self.states
-        # States by position: last piece -> weight and the state before. Of one text BPE has one result, so few are ever live.
+        ids, states, pairs = self.ids, self.states, self.pairs
+        # States by position: last piece -> weight, position and last piece before. BPE has one result for a text, so few are ever live.
         live: list[dict[str, tuple[float, int, str]]] = [{} for _ in range(n + 1)]
         live[0][""] = (0.0, -1, "")
         for i in range(n):
-            here = live[i]
-            if not here:
+            if not live[i]:
                 continue
-            one = part[i]
-            known = one in ids
-            arcs = [] if known else [(one, 1)]  # byte fallback
-            if known or one in states:
+            for last, (weight, _, _) in live[i].items():
                 j = i + 1
+                text = part[i]
+                if text not in ids:
+                    there = live[j]
+                    if weight + FALLBACK < there.get(text, (_INFINITE,))[0]:
+                        there[text] = (weight + FALLBACK, i, last)
                 while True:
-                    text = part[i:j]
                     if text in ids:
-                        arcs.append((text, j - i))
+                        ok = pairs.get((last, text))
+                        if (self._joins(last, text) if ok is None else ok) and weight + 1 < live[j].get(text, (_INFINITE,))[0]:
+                            live[j][text] = (weight + 1, i, last)
                     if j == n or text not in states:
                         break
                     j += 1
-            for text, length in arcs:
-                there = live[i + length]
-                for last, (weight, _, _) in here.items():
-                    w = weight + (self._weight(last, text) if known or length > 1 else FALLBACK)
-                    if w < _INFINITE and w < there.get(text, (_INFINITE, 0, ""))[0]:
-                        there[text] = (w, i, last)
+                    text = part[i:j]
         last, at, out = min(live[n], key=lambda k: live[n][k][0]), n, []
         while at:
             out.append(last)
@@ -142,14 +131,13 @@ class PieceTransducer:
         return found
 
     def _part(self, part: str) -> tuple[int, ...]:
-        if "\n" not in part or "\n" in self.ids:
-            return self.path(part)
-        line = tuple(self._fallback("\n"))  # a character without a piece is a state that all paths pass, too
-        first, *rest = part.split("\n")
-        out = self.path(first) if first else ()
-        for x in rest:
-            out += line + (self.path(x) if x else ())
-        return out
+        """The same for any part: no piece joins two characters that no piece has side by side, so all paths pass between them."""
+        joined, at, out = self.joined, 0, ()
+        for i, two in enumerate(zip(part, part[1:], strict=False), 1):
+            if two not in joined:
+                out += self.path(part[at:i])
+                at = i
+        return out + self.path(part[at:]) if at else self.path(part)
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -222,13 +210,19 @@ class PieceTransducer:
         return [t[1:] if self.prefix and t.startswith(" ") else t for t in out]
 
 
+@cache
+def compiled(path: str) -> PieceTransducer:
+    """The transducers of a model: a Python worker compiles them once, and its tasks share what they have found."""
+    return PieceTransducer(path)
+
+
 def encoded(docs: DataFrame, model: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of its texts in a column ``ids`` (replaced if there). One pass, no shuffle."""
     docs = docs.drop(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = PieceTransducer(model)
-        for batch in steps(batches, text):
+        transducer = compiled(model)
+        for batch in steps(batches, text, 16 << 20):
             found, count = transducer.encode_all(texts(batch, text))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(found, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids])
@@ -241,7 +235,7 @@ def decoded(docs: DataFrame, model: str, *, ids: str = "ids", text: str = "decod
     docs = docs.drop(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = PieceTransducer(model)
+        transducer = compiled(model)
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
@@ -258,8 +252,8 @@ def piece_report(docs: DataFrame, model: str) -> DataFrame:
     docs = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = PieceTransducer(model)
-        for batch in steps(batches, "text"):
+        transducer = compiled(model)
+        for batch in steps(batches, "text", 16 << 20):
             column = texts(batch)
             found, count = transducer.encode_all(column)
             ends = np.concatenate([[0], np.cumsum(count)])

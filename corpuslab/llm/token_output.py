@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +115,12 @@ class WordEncoder:
         return flat[gather(starts[codes], lengths[codes])].astype(np.int32), np.diff(sizes)
 
 
+@cache
+def encoder_of(path: str) -> WordEncoder:
+    """A Python worker loads a tokenizer once."""
+    return WordEncoder(path)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, text: str = "text", key: str = "doc_id") -> None:
     """Encodes ``docs`` and writes the ids to ORC files under ``path``, in ascending order of ``key``.
 
@@ -122,7 +129,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1,
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pos = WordEncoder(tokenizer), 0
+        encoder, pos = encoder_of(tokenizer), 0
         for batch in steps(batches, "text", 32 << 20):
             ids, count = encoder.encode(texts(batch), end_id)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(ids))
