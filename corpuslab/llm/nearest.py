@@ -3,11 +3,11 @@
 Each vector, less the mean, is normalised and rotated by a random orthogonal map into ``bits`` dimensions (more than it
 has, for closer estimates); its code is the signs, packed. With the norm and one correction scalar (the inner product of the
 rotated vector and its code) the code estimates the inner product with a query without bias, and bounds its error: of a
-squared distance each code gives a lower and an upper bound. A vector is reranked by its exact distance if its lower bound
-is not above the tenth smallest upper bound, first within each partition, then over all.
+squared distance each code gives a lower and an upper bound. A vector is reranked by its exact distance, in double precision,
+if its lower bound is not above the ``k``-th smallest exact distance or upper bound that its partition has met. A partition
+passes on ``k`` rows for each query, and the least of those are the result.
 
-The code table (vec_id, code, norm, correction) is the index, written once; a search reads it, and then joins the chosen
-ids with the vectors. Queries go out in blocks of about ``BLOCK``, each read and broadcast by itself, so neither the driver
+The code table (vec_id, code, norm, correction, and the vector to rerank by) is the index, written once. Queries go out in blocks of about ``BLOCK``, each read and broadcast by itself, so neither the driver
 nor a broadcast holds more than a block. Vectors that are null, empty, zero, or hold a null or non-finite component take no
 part. Vectors are compared with those of the same length. Rows with the query's id are the query's own and are no
 candidates; other rows of equal ids each count. With fewer than ``k`` candidates all are returned.
@@ -62,7 +62,7 @@ def centres(vectors: DataFrame) -> dict[int, np.ndarray]:
 
 
 def code_table(vectors: DataFrame, centre: dict[int, np.ndarray]) -> DataFrame:
-    """vec_id, length of the vector, packed signs, norm and correction of each row."""
+    """vec_id, length of the vector, packed signs, norm, correction and the vector itself of each row."""
     shared = vectors.sparkSession.sparkContext.broadcast(centre)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,11 +78,14 @@ def code_table(vectors: DataFrame, centre: dict[int, np.ndarray]) -> DataFrame:
                 fit = np.abs(turned).sum(1) / np.sqrt(turn.shape[0])
                 packed = np.packbits(turned > 0, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows)), pa.array(np.full(len(rows), d, np.int32)), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(norm), pa.array(np.where(norm > 0, fit, 1.0))],
-                    ["vec_id", "d", "code", "norm", "fit"],
+                    [
+                        ids.take(pa.array(rows)), pa.array(np.full(len(rows), d, np.int32)), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(norm), pa.array(np.where(norm > 0, fit, 1.0)),
+                        batch.column(1).take(pa.array(rows)).cast(pa.list_(pa.float64())),
+                    ],
+                    ["vec_id", "d", "code", "norm", "fit", "embedding"],
                 )
 
-    return vectors.mapInArrow(coded, "vec_id bigint, d int, code binary, norm double, fit double")
+    return vectors.mapInArrow(coded, "vec_id bigint, d int, code binary, norm double, fit double, embedding array<double>")
 
 
 class Queries:
@@ -104,65 +107,47 @@ class Queries:
         return middle - 2 * norm[:, None] * (inner + error), middle - 2 * norm[:, None] * (inner - error) + 1e-12
 
 
-def candidates(codes: DataFrame, block: dict[int, Queries], k: int) -> DataFrame:
-    """query_id, vec_id and bounds of the codes that a partition can't rule out."""
+def _search(codes: DataFrame, centre: dict[int, np.ndarray], queries: DataFrame, k: int) -> DataFrame:
+    rows = queries.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).toPandas().drop_duplicates("vec_id")
+    by = rows.groupby(rows["embedding"].map(len))
+    block = {int(d): Queries(part["vec_id"].to_numpy(np.int64), np.stack(part["embedding"].to_numpy()), centre[int(d)]) for d, part in by}
     shared = codes.sparkSession.sparkContext.broadcast(block)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = {d: np.full((k, len(q.ids)), np.inf) for d, q in shared.value.items()}
-        kept: dict[int, list[tuple[np.ndarray, ...]]] = {d: [] for d in least}
-
-        def cut(d: int) -> None:
-            parts = [np.concatenate(x) for x in zip(*kept[d], strict=True)]
-            hold = parts[2] <= least[d][-1][parts[0]]
-            kept[d] = [tuple(x[hold] for x in parts)]
-
+        best = {d: (np.full((k, len(q.ids)), np.inf), np.full((k, len(q.ids)), np.iinfo(np.int64).max)) for d, q in shared.value.items()}
         for batch in batches:
-            ids, length = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            ids, length = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy()
             norm, fit = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            offsets, values = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy(zero_copy_only=False)
             for d, q in shared.value.items():
                 rows = np.flatnonzero(length == d)
+                rows = rows[np.argsort(ids[rows], kind="stable")]
                 for i in range(0, len(rows), _STEP):
                     part = rows[i : i + _STEP]
                     code = np.frombuffer(b"".join(batch.column(2).take(pa.array(part)).to_pylist()), np.uint8).reshape(len(part), -1)
                     low, high = q.bounds(code, norm[part], fit[part])
                     own = ids[part][:, None] == q.ids
-                    high[own] = low[own] = np.inf
-                    least[d] = np.sort(np.concatenate([least[d], np.partition(high, min(k, len(part)) - 1, axis=0)[:k]]), axis=0)[:k]
-                    at, of = np.nonzero((low <= least[d][-1]) & ~own)
-                    kept[d].append((of, ids[part][at], low[at, of], high[at, of]))
-                    if len(kept[d]) > 8:
-                        cut(d)
+                    low[own] = high[own] = np.inf
+                    # The k-th exact distance so far, or the k-th upper bound here, whichever is less.
+                    least = best[d][0][-1] ** 2
+                    if len(part) >= k:
+                        least = np.minimum(least, np.partition(high, k - 1, axis=0)[k - 1])
+                    at, of = np.nonzero((low <= least * (1 + 1e-9)) & ~own)
+                    x = values[offsets[part[at]][:, None] + np.arange(d)].astype(np.float64)
+                    exact = np.full(low.shape, np.inf)
+                    exact[at, of] = np.sqrt(((q.x[of] - x) ** 2).sum(1))
+                    first = np.argsort(exact, axis=0, kind="stable")[:k]  # rows are by id, so ties go to the smaller
+                    score = np.concatenate([best[d][0], np.take_along_axis(exact, first, 0)])
+                    vec = np.concatenate([best[d][1], np.where(np.isfinite(score[k:]), ids[part][first], np.iinfo(np.int64).max)])
+                    order = np.lexsort((vec, score), axis=0)[:k]
+                    best[d] = np.take_along_axis(score, order, 0), np.take_along_axis(vec, order, 0)
         for d, q in shared.value.items():
-            if kept[d]:
-                cut(d)
-                of, vec, low, high = kept[d][0]
-                yield pa.RecordBatch.from_arrays([pa.array(q.ids[of]), pa.array(vec.astype(np.int64)), pa.array(low), pa.array(high)], ["query_id", "vec_id", "low", "high"])
+            at, of = np.nonzero(np.isfinite(best[d][0]))
+            yield pa.RecordBatch.from_arrays([pa.array(q.ids[of]), pa.array(best[d][1][at, of]), pa.array(best[d][0][at, of])], ["query_id", "vec_id", "score"])
 
-    return codes.mapInArrow(search, "query_id bigint, vec_id bigint, low double, high double")
-
-
-def _search(vectors: DataFrame, codes: DataFrame, centre: dict[int, np.ndarray], queries: DataFrame, k: int) -> DataFrame:
-    rows = queries.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).toPandas().drop_duplicates("vec_id")
-    by = rows.groupby(rows["embedding"].map(len))
-    block = {int(d): Queries(part["vec_id"].to_numpy(np.int64), np.stack(part["embedding"].to_numpy()), centre[int(d)]) for d, part in by}
-    shared = vectors.sparkSession.sparkContext.broadcast({int(i): x for q in block.values() for i, x in zip(q.ids, q.x, strict=True)})
-    of = Window.partitionBy("query_id")
-    found = candidates(codes, block, k).withColumn("n", F.row_number().over(of.orderBy("high")))
-    found = found.withColumn("cut", F.max(F.when(F.col("n") <= k, F.col("high"))).over(of)).where("low <= cut").select("query_id", "vec_id").distinct()
-
-    @F.arrow_udf("double")
-    def distance(query: pa.Array, vector: pa.Array) -> pa.Array:
-        offsets, values = vector.offsets.to_numpy(), vector.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        out = np.full(len(query), np.nan)
-        for i, (q, a, b) in enumerate(zip(query.to_numpy().tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-            own = shared.value[q]
-            if len(own) == b - a:
-                out[i] = np.sqrt(((own - values[a:b]) ** 2).sum())
-        return pa.array(out)
-
-    exact = found.join(vectors, "vec_id").select("query_id", "vec_id", distance("query_id", "embedding").alias("score")).where(~F.isnan("score"))
-    ranked = exact.withColumn("rank", F.row_number().over(of.orderBy("score", "vec_id")))
+    # k rows at most for each query and partition go on.
+    found = codes.mapInArrow(search, "query_id bigint, vec_id bigint, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -175,8 +160,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10) -> DataFrame:
     queries = vectors.where(is_query)
     blocks = -(-queries.count() // BLOCK)
     if blocks <= 1:
-        return _search(vectors, codes, centre, queries, k)
+        return _search(codes, centre, queries, k)
     path = shared_folder(spark, "neighbours")
     for i in range(blocks):
-        _search(vectors, codes, centre, queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i), k).write.mode("append").parquet(path)
+        _search(codes, centre, queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i), k).write.mode("append").parquet(path)
     return spark.read.parquet(path)
