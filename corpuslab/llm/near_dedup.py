@@ -7,7 +7,7 @@ one with the probability of their weighted Jaccard similarity. Texts that agree
 Jaccard similarity is ``SIMILARITY`` or more.
 
 Copies of one text are one class from the start and only its least id goes on. A bucket isn't expanded into pairs: first
-all its members are compared with its least one, and linked components are found; then, in rounds that double the number of
+all its members are compared with its least one, and linked components are found; then, in rounds that multiply the number of
 members compared, only with members that are not yet in the same component, until each bucket is one component or all its
 pairs are compared. What is skipped could only link what is linked already, so no component is lost to the skipping.
 
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .shared import SIMILARITY, Bitmap, WordWeights, mixed, steps, texts, weighted_jaccard, written
 
 BANDS, ROWS = 16, 4
+#: Links that one task joins into components, at most; and by how much rounds grow.
+HERE, GROWTH = 500_000, 4
 _CHUNK = 1 << 16
 
 
@@ -96,8 +98,37 @@ def signature_table(docs: DataFrame, weights: WordWeights) -> DataFrame:
     return docs.mapInArrow(signed, "doc_id bigint, h1 bigint, h2 bigint, keys array<bigint>")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id and least id of the component of each end of ``edges`` (a, b): labels go along edges and are followed, until none changes."""
+def _joined_here(edges: DataFrame) -> DataFrame:
+    """Components by union and find in one task; for as many edges as its caller bounds."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                up.setdefault(a, a)
+                up.setdefault(b, b)
+                a, b = top(a), top(b)
+                up[max(a, b)] = min(a, b)
+        ids = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(x) for x in ids], pa.int64())], ["id", "label"])
+
+    return edges.select("a", "b").repartition(1).mapInArrow(join, "id bigint, label bigint")
+
+
+def components(edges: DataFrame, here: int = HERE) -> DataFrame:
+    """id and least id of the component of each end of ``edges`` (a, b).
+
+    Up to ``here`` edges one task joins them; beyond, labels go along edges and are followed until none changes, all in
+    tables. Both give the same rows.
+    """
+    if edges.count() <= here:
+        return written(_joined_here(edges), "labels")
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id"), "labels")
     while True:
@@ -156,19 +187,19 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataF
     ranked = None
     while True:
         at = (buckets.select("key", "id") if ranked is None else ranked).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        at = written(at, "members")
         several = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
         if ranked is None:  # only buckets of more than one component go on
-            at = written(at.join(several, "key").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id"))), "ranked")
-            ranked = at.select("key", "id", "n")
+            at = at.join(several, "key").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id")))
         else:
             at = at.join(several, "key")
-        centre = at.where((F.col("n") > size) & (F.col("n") <= 2 * size)).select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("label").alias("label_a"))
+        at = written(at, "ranked")
+        ranked = at.select("key", "id", "n")
+        centre = at.where((F.col("n") > size) & (F.col("n") <= GROWTH * size)).select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("label").alias("label_a"))
         if centre.isEmpty():
             break
         pairs = at.join(centre, "key").where((F.col("n") > F.col("m")) & (F.col("label") != F.col("label_a"))).select("a", F.col("id").alias("b")).distinct()
         new = written(verified(pairs, texts_needed, weights, similarity), "links")
-        size *= 2
+        size *= GROWTH
         if not new.isEmpty():
             links = links.union(new)
             labels = components(links)
