@@ -11,7 +11,8 @@ all its members are compared with its least one, and linked components are found
 members compared, only with members that are not yet in the same component, until each bucket is one component or all its
 pairs are compared. What is skipped could only link what is linked already, so no component is lost to the skipping.
 
-Null ids take no part (their class is null). Texts without words are like only to copies of themselves. Rows of one id
+Null ids take no part (their class is null). Null text is empty; texts without words are
+like only to copies of themselves. Rows of one id
 count as one document with several texts. Components' and buckets' rows stay in the shared folder, never on the driver.
 """
 

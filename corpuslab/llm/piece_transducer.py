@@ -33,7 +33,7 @@ from .shared import gather, steps, texts
 
 SPACE = "▁"
 #: Parts whose shortest paths, and pairs whose weights a worker keeps; when full, they are dropped.
-KEPT, KEPT_PAIRS = 400_000, 1_000_000
+KEPT, KEPT_PAIRS = 120_000, 250_000
 #: The weight of a character's bytes.
 FALLBACK = 1000.0
 _INFINITE = float("inf")
@@ -222,7 +222,7 @@ def encoded(docs: DataFrame, model: str, *, text: str = "text", ids: str = "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model)
-        for batch in steps(batches, text, 16 << 20):
+        for batch in steps(batches, text, 3 << 20):
             found, count = transducer.encode_all(texts(batch, text))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(found, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids])
@@ -237,8 +237,8 @@ def decoded(docs: DataFrame, model: str, *, ids: str = "ids", text: str = "decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model)
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
                 lists = part.column(part.schema.get_field_index(ids))
                 count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
                 found = transducer.decode_all(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), count)
@@ -253,7 +253,7 @@ def piece_report(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model)
-        for batch in steps(batches, "text", 16 << 20):
+        for batch in steps(batches, "text", 3 << 20):
             column = texts(batch)
             found, count = transducer.encode_all(column)
             ends = np.concatenate([[0], np.cumsum(count)])
