@@ -6,7 +6,8 @@ minimiser occurs in two documents or more can hold a repeated window; which thos
 hash (a collision sends too much, never too little). Each such super-k-mer travels once, its words packed as one string, to
 the bucket of its minimiser. A bucket's task sorts the super-k-mers, takes one minimiser after the other, compares windows
 as word sequences and reports the least document of each. Minimisers of very many super-k-mers are spread over buckets by a
-hash of each window instead, and counted there in the same way: equal windows still meet, and no bucket grows with them.
+hash of each window instead, once for each document that has it, and counted there in the same way: equal windows still
+meet, and a task holds of a spread bucket only the first of each word sequence, however many documents have it.
 
 Ids that repeat are one document: its windows don't remove its own words. Null ids take no part in the comparison and
 keep all words; null or empty texts have no words. Nothing is removed from texts of fewer than ``WINDOW`` words.
@@ -99,7 +100,10 @@ def _has(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
 
 
 def _bucketed(docs: DataFrame, maps: tuple[np.ndarray, np.ndarray], window: int, m: int) -> DataFrame:
-    """bucket, doc_id, first word, and packed words of the super-k-mers that can hold a repeated window."""
+    """The super-k-mers that can hold a repeated window: bucket, doc_id, where they start, packed words, and whether spread.
+
+    A spread one is a single window, sent once for a row of the input with all its starts there.
+    """
     shared_maps = docs.sparkSession.sparkContext.broadcast(maps)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,25 +116,34 @@ def _bucketed(docs: DataFrame, maps: tuple[np.ndarray, np.ndarray], window: int,
             hot = _has(spread, slot)
             kept = np.flatnonzero(_has(shared, slot) & ~hot)
             bucket, start, count, row = found.minimiser[kept], found.start[kept], found.count[kept], found.row[kept]
+            starts, times, alone = start - found.offsets[row], np.ones(len(kept), np.int64), np.zeros(len(kept), bool)
             if hot.any():  # each window by itself, to a bucket of its own hash
                 hot = np.flatnonzero(hot)
-                at = gather(found.start[hot], found.count[hot])
+                at, of = gather(found.start[hot], found.count[hot]), np.repeat(found.row[hot], found.count[hot])
                 hashes = np.fromiter(map(word_hash, found.vocabulary), np.uint64, len(found.vocabulary))[found.codes]
-                bucket = np.concatenate([bucket, rolling(hashes, window)[at]])
-                start, count = np.concatenate([start, at]), np.concatenate([count, np.ones(len(at), np.int64)])
-                row = np.concatenate([row, np.repeat(found.row[hot], found.count[hot])])
+                key = rolling(hashes, window)[at]
+                order = np.lexsort((at, key, of))
+                at, of, key = at[order], of[order], key[order]
+                new = np.ones(len(at), bool)
+                new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+                for k in range(window):  # windows of one hash must have the same words to be sent as one
+                    new[1:] |= found.codes[at[1:] + k] != found.codes[at[:-1] + k]
+                first = np.flatnonzero(new)
+                bucket, start, row = np.concatenate([bucket, key[first]]), np.concatenate([start, at[first]]), np.concatenate([row, of[first]])
+                starts, times = np.concatenate([starts, at - found.offsets[of]]), np.concatenate([times, np.diff(np.append(first, len(at)))])
+                count, alone = np.concatenate([count, np.ones(len(first), np.int64)]), np.concatenate([alone, np.ones(len(first), bool)])
             vocabulary = pa.array(found.vocabulary, pa.string())
+            ends = np.concatenate([[0], np.cumsum(times)])
             for i in range(0, len(start), 20_000):
                 part = slice(i, i + 20_000)
                 length = count[part] + window - 1
                 words = vocabulary.take(pa.array(found.codes[gather(start[part], length)]))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), words)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[part].astype(np.int64)), batch.column(0).take(pa.array(row[part])), pa.array((start[part] - found.offsets[row[part]]).astype(np.int32)), pc.binary_join(lists, " ")],
-                    ["bucket", "doc_id", "start", "words"],
-                )
+                own = ends[i : i + 20_001]
+                places = pa.ListArray.from_arrays(pa.array(own - own[0], pa.int32()), pa.array(starts[own[0] : own[-1]], pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[part].astype(np.int64)), batch.column(0).take(pa.array(row[part])), places, pc.binary_join(lists, " "), pa.array(alone[part])], ["bucket", "doc_id", "starts", "words", "alone"])
 
-    return docs.mapInArrow(packed, "bucket bigint, doc_id bigint, start int, words string")
+    return docs.mapInArrow(packed, "bucket bigint, doc_id bigint, starts array<int>, words string, alone boolean")
 
 
 def _ranges(doc: np.ndarray, start: np.ndarray, window: int) -> pa.RecordBatch:
@@ -147,17 +160,18 @@ def _ranges(doc: np.ndarray, start: np.ndarray, window: int) -> pa.RecordBatch:
 def _repeated(super_kmers: pa.Table, window: int) -> pa.RecordBatch:
     """Of the super-k-mers of some whole buckets: the ranges of words in windows that a smaller document has too."""
     words = ascii_words(super_kmers["words"].combine_chunks().cast(pa.large_string()) if super_kmers.num_rows else pa.array([], pa.large_string()))
-    doc, start = super_kmers["doc_id"].to_numpy(), super_kmers["start"].to_numpy().astype(np.int64)
+    places = super_kmers["starts"].combine_chunks()
+    places_at, places = places.offsets.to_numpy().astype(np.int64), places.values.to_numpy().astype(np.int64)
     length = np.diff(words.offsets)
     count = length - window + 1
     at = gather(words.offsets[:-1], count)
     of = np.repeat(np.arange(len(count)), count)
-    doc, start = doc[of], start[of] + at - words.offsets[of]
+    doc, start = super_kmers["doc_id"].to_numpy()[of], at - words.offsets[of]
     # Sorted by the hash of the window and the document; windows of one hash are then compared word by word.
     hashes = np.fromiter(map(word_hash, words.vocabulary), np.uint64, len(words.vocabulary))[words.codes]
     key = rolling(hashes, window)[at] if len(at) else np.zeros(0, np.uint64)
     order = np.lexsort((doc, key))
-    key, doc, start, at = key[order], doc[order], start[order], at[order]
+    key, doc, start, at, of = key[order], doc[order], start[order], at[order], of[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, np.int64)
@@ -174,35 +188,51 @@ def _repeated(super_kmers: pa.Table, window: int) -> pa.RecordBatch:
         least = np.full(inverse.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, inverse.ravel(), doc[group])
         hit[group] = least[inverse.ravel()] < doc[group]
-    return _ranges(doc[hit], start[hit], window)
+    doc, start, of = doc[hit], start[hit], of[hit]
+    times = np.diff(places_at)[of]
+    return _ranges(np.repeat(doc, times), places[gather(places_at[of], times)] + np.repeat(start, times), window)
+
 
+def _firsts(rows: pa.Table) -> pa.Table:
+    """Of a bucket's windows, by document, the first of each word sequence, without its starts."""
+    seen: dict[str, int] = {}
+    for i, w in enumerate(rows["words"].to_pylist()):
+        seen.setdefault(w, i)
+    kept = rows.take(pa.array(list(seen.values())))
+    none = pa.array([[]] * kept.num_rows, pa.list_(pa.int32()))
+    return kept.set_column(2, "starts", none)
 
-def repeated_ranges(docs: DataFrame, *, window: int = WINDOW, m: int = MINIMISER, spread: int = SPREAD) -> DataFrame:
+
+def repeated_ranges(docs: DataFrame, *, window: int = WINDOW, m: int = MINIMISER, spread: int = SPREAD, step: int = _STEP) -> DataFrame:
     """doc_id, start, end (exclusive) of word ranges covered by windows that a document of smaller id has too; they may overlap."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     super_kmers = _bucketed(docs, minimiser_maps(docs, window, m, spread), window, m)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+        names, held, size = ["bucket", "doc_id", "starts", "words", "alone"], [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket = batch.column(0).to_numpy()
-            if size > _STEP:  # whole buckets only: what is held ends where the bucket changes
-                last = held[-1].column(0)[-1].as_py()
-                cut = int(np.searchsorted(bucket != last, True)) if bucket[0] == last else 0
-                if cut < len(bucket) or bucket[0] != last:
-                    if cut:
-                        held.append(batch.slice(0, cut))
-                    yield _repeated(pa.Table.from_batches(held), window)
-                    held, size, batch = [], 0, batch.slice(cut)
-            held.append(batch)
-            size += batch.column(3).nbytes
+            held.append(pa.Table.from_batches([pa.RecordBatch.from_arrays(batch.columns, names)]))
+            size += batch.nbytes
+            if size < step:
+                continue
+            # Whole buckets go; of the last, which may go on, the rows stay, or if it is spread only its first windows.
+            rows = pa.concat_tables(held).combine_chunks()
+            bucket = rows["bucket"].to_numpy()
+            cut = len(bucket) - int(np.argmax(bucket[::-1] != bucket[-1])) if bucket[0] != bucket[-1] else 0
+            if rows["alone"][-1].as_py():
+                yield _repeated(rows, window)
+                held = [_firsts(rows.slice(cut))]
+            else:
+                if cut:
+                    yield _repeated(rows.slice(0, cut), window)
+                held = [rows.slice(cut)]
+            size = held[0].nbytes if cut or rows["alone"][-1].as_py() else 0
         if held:
-            yield _repeated(pa.Table.from_batches(held), window)
+            yield _repeated(pa.concat_tables(held), window)
 
-    by_bucket = super_kmers.repartition("bucket").sortWithinPartitions("bucket")
+    by_bucket = super_kmers.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
     return by_bucket.mapInArrow(counted, "doc_id bigint, start int, end int")
 
 
@@ -222,8 +252,8 @@ def _kept(words: list[str], ranges: list[dict] | None) -> list[str]:
     return out + words[at:]
 
 
-def remove_repeats(docs: DataFrame, *, window: int = WINDOW, m: int = MINIMISER, spread: int = SPREAD) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words left, joined by one space) and its SHA-256, for each row of ``docs``."""
+def remove_repeats(docs: DataFrame, **options) -> DataFrame:
+    """Options as of :func:`repeated_ranges`. doc_id, n_words, n_removed, kept (the words left, joined by one space) and its SHA-256, for each row of ``docs``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         separators = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
@@ -238,7 +268,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, m: int = MINIMISER,
             digests = [hashlib.sha256(k.encode()).hexdigest() for k in kept]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    found = with_ranges(docs.select("doc_id", "text"), window=window, m=m, spread=spread).select("doc_id", "text", "ranges")
+    found = with_ranges(docs.select("doc_id", "text"), **options).select("doc_id", "text", "ranges")
     return found.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string")
 
 
