@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrow as A
+from ..functions import scores as C
 from ..functions import text as T
 from ..operators import gates as G
 from ..operators import packing as P
@@ -238,3 +239,23 @@ def seed_sentences(spark: SparkSession, d: str) -> DataFrame:
 def pair_clean_dedup(spark: SparkSession, d: str) -> DataFrame:
     sides = F.length("s").between(3, 5000) & F.length("t").between(3, 5000)
     return _pairs(spark, d).where(sides & (F.col("s") != F.col("t"))).select("s", "t").distinct()
+
+
+@query()
+def word_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Word edits and reference words of each pair, and an n-gram overlap."""
+    return _pairs(spark, d).select("item_id", C.word_distance(F.col("t"), F.col("s")).alias("edits"), T.word_count(F.col("s")).alias("words"), C.ngram_overlap(F.col("t"), F.col("s")).alias("overlap"))
+
+
+@query(f"WITH {_PAIR} SELECT item_id, array_to_string(regexp_extract_all(t, '\\S+'), ' ') AS t FROM p")
+def edit_tag_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Tags that turn a source into its target, applied: the target's words again."""
+    tagged = _pairs(spark, d).withColumn("tags", C.edit_tags(F.col("s"), F.col("t")))
+    return tagged.select("item_id", C.apply_tags(F.col("s"), F.col("tags")).alias("t"))
+
+
+@query()
+def edit_tag_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent edit tags."""
+    tags = _pairs(spark, d).select(F.explode(C.edit_tags(F.col("s"), F.col("t"))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return tags.orderBy(F.desc("n"), "tag").limit(20)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.functions import arrow as A
+from corpuslab.functions import scores as C
 from corpuslab.functions import text as T
 from corpuslab.operators import dedup as D
 from corpuslab.operators import leaderboard as L
@@ -35,6 +36,13 @@ def test_word_edits(spark):
     assert sorted((e["op"], e["word"]) for e in edits) == [("delete", "b"), ("insert", "x")]
 
 
+def test_word_scores(spark):
+    assert one(spark, C.word_distance(F.col("a"), F.col("b")), a="a b c", b="a x c d") == 2
+    assert one(spark, C.ngram_overlap(F.col("a"), F.col("b")), a="a b", b="a b") == 1.0
+    assert one(spark, C.ngram_overlap(F.col("a"), F.col("b")), a="a b", b="c") == 0.0
+    assert one(spark, C.edit_tags(F.col("a"), F.col("b")), a="a b c", b="z a x c") == ["$KEEP $APPEND_z", "$KEEP", "$DELETE $APPEND_x", "$KEEP"]
+
+
 def test_f_half(spark):
     rows = spark.createDataFrame([("a b", "a c", "a c"), ("a b", "a b", "a c")], "s string, h string, r string")
     found = [r.f for r in R.edit_scores(rows, "s", "h", "r").select(R.f_half(F.col("tp"), F.col("fp"), F.col("fn")).alias("f")).collect()]
