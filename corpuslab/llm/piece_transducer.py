@@ -32,8 +32,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .shared import gather, steps, texts
 
 SPACE = "▁"
-#: Parts whose shortest paths, and pairs whose weights a worker keeps; when full, they are dropped.
-KEPT, KEPT_PAIRS = 120_000, 250_000
+#: Parts whose shortest paths, and pairs whose weights a worker keeps; of twice as many the older half is dropped unless used.
+KEPT, KEPT_PAIRS = 150_000, 300_000
 #: The weight of a character's bytes.
 FALLBACK = 1000.0
 _INFINITE = float("inf")
@@ -62,6 +62,8 @@ class PieceTransducer:
         self.joined = {(a, b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.paths: dict[str, tuple[int, ...]] = {}
+        self.old_paths: dict[str, tuple[int, ...]] = {}
+        self.old_pairs: dict[tuple[str, str], bool] = {}
         # What each id decodes to, as bytes.
         self.spelled = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else b"" if p.type in (kinds.CONTROL, kinds.UNUSED) else p.piece.replace(SPACE, " ").encode() for p in model.pieces]
         self.spelled[self.unknown] = " ⁇ ".encode()
@@ -83,8 +85,13 @@ class PieceTransducer:
     def _joins(self, last: str, piece: str) -> bool:
         """Whether the arc of ``piece`` after ``last`` (empty: at the start) has a finite weight."""
         if len(self.pairs) >= KEPT_PAIRS:
+            # In place: a path being found holds on to the dictionary.
+            self.old_pairs = dict(self.pairs)
             self.pairs.clear()
-        ok = self.pairs[last, piece] = self._merged(last + piece) == ([last, piece] if last else [piece])
+        ok = self.old_pairs.get((last, piece))
+        if ok is None:
+            ok = self._merged(last + piece) == ([last, piece] if last else [piece])
+        self.pairs[last, piece] = ok
         return ok
 
     def _fallback(self, character: str) -> list[int]:
@@ -96,6 +103,10 @@ class PieceTransducer:
         kept = self.paths.get(part)
         if kept is not None:
             return kept
+        kept = self.old_paths.get(part)
+        if kept is not None:
+            self.paths[part] = kept
+            return kept
         n = len(part)
         ids, states, pairs = self.ids, self.states, self.pairs
         # States by position: last piece -> weight, position and last piece before. BPE has one result for a text, so few are ever live.
@@ -126,7 +137,7 @@ class PieceTransducer:
             _, at, last = live[at][last]
         found = tuple(i for piece in reversed(out) for i in ([ids[piece]] if piece in ids else self._fallback(piece)))
         if len(self.paths) >= KEPT:
-            self.paths.clear()
+            self.old_paths, self.paths = self.paths, {}
         self.paths[part] = found
         return found
 
@@ -222,7 +233,7 @@ def encoded(docs: DataFrame, model: str, *, text: str = "text", ids: str = "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model)
-        for batch in steps(batches, text, 3 << 20):
+        for batch in steps(batches, text, 6 << 20):
             found, count = transducer.encode_all(texts(batch, text))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(found, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids])
@@ -253,7 +264,7 @@ def piece_report(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model)
-        for batch in steps(batches, "text", 3 << 20):
+        for batch in steps(batches, "text", 6 << 20):
             column = texts(batch)
             found, count = transducer.encode_all(column)
             ends = np.concatenate([[0], np.cumsum(count)])
