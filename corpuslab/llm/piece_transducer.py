@@ -1,18 +1,20 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
 Three transducers are compiled from a model: the normaliser (a space before the text, spaces as U+2581), the pieces (a trie
-whose paths spell a piece and write its id), and byte fallback (a character without a piece writes its UTF-8 bytes' ids, at
-a high weight). An input is composed with them into an acyclic lattice, and its encoding is the shortest path in the
-tropical semiring (weights add along a path, the least path wins).
+whose paths spell a piece and write its id), and byte fallback (a character without a piece writes its UTF-8 bytes' ids).
+An input is composed with them into an acyclic lattice, and its encoding is the shortest path in the
+tropical semiring (weights add along a path, the least path wins). Bytes are arcs of characters without a piece alone, so
+they need no weight of their own.
 
 The model at hand merges pairs (BPE), which no sum of piece weights alone reproduces. But a sequence of pieces is what BPE
 makes of its text if and only if BPE leaves each two neighbours as they are; so the states of the piece transducer remember
 the last piece, an arc weighs 1, or is infinite if BPE would not leave its piece beside the last. Those weights are found as arcs
-are first met, and kept. The shortest path is then the library's encoding, which tests compare id by id.
+are first met, by undoing the two pieces' merges, and kept. A prefix has one such sequence, so at most one state of each
+position has a finite weight and a search that tries long arcs first finds the shortest path in about as many steps as it has arcs. The shortest path is then the library's encoding, which tests compare id by id.
 
 No piece holds a space after another character (checked when compiled), so all paths pass through the state before each
-run of spaces, and through the one between two characters that stand side by side in no piece. An input is cut there, and
-the parts' shortest paths are kept for repeated parts.
+run of spaces. An input is cut there, and the parts' shortest paths are kept for repeated parts. Long parts are also cut
+between characters that stand side by side in no piece.
 
 Null and empty texts have no ids. U+2581 is encoded as a space, as the library does; all else decodes to the text itself.
 """
@@ -20,6 +22,7 @@ Null and empty texts have no ids. U+2581 is encoded as a space, as the library d
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -34,8 +37,8 @@ from .shared import gather, steps, texts
 SPACE = "▁"
 #: Parts whose shortest paths, and pairs whose weights a worker keeps; of twice as many the older half is dropped unless used.
 KEPT, KEPT_PAIRS = 150_000, 300_000
-#: The weight of a character's bytes.
-FALLBACK = 1000.0
+#: Characters of the longest part that is kept whole.
+LONG = 48
 _INFINITE = float("inf")
 
 
@@ -60,6 +63,23 @@ class PieceTransducer:
         # The trie of the pieces: for each state (a prefix) whether it goes on.
         self.states = {p[:n] for p in self.ids for n in range(1, len(p))}
         self.joined = {(a, b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
+        # Of each piece: the merge that makes it (None: a character) if BPE makes it at all, the rank of that, the next shorter arc.
+        order = {p: -self.scores[p] for p in self.ids}
+        self.rank = {p: r for p, r in order.items() if len(p) > 1}
+        self.made: dict[str, tuple[str, str] | None] = {}
+        self.shorter: dict[str, str] = {}
+        for p in self.ids:
+            parts, made = self._last_merge(p)
+            if parts == [p]:
+                self.made[p] = made
+            if len(p) > 1:
+                self.shorter[p] = next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), p[0])
+        # Pieces in whose making a merge of a higher or a shared rank comes first: their merges' order isn't their ranks'.
+        shared = {r for r, n in Counter(self.rank.values()).items() if n > 1}
+        self.uneven = {p for p, r in self.rank.items() if r in shared}
+        for p in sorted((p for p, made in self.made.items() if made), key=len):
+            if any(x in self.uneven or self.rank.get(x, -_INFINITE) > self.rank[p] for x in self.made[p]):
+                self.uneven.add(p)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.paths: dict[str, tuple[int, ...]] = {}
         self.old_paths: dict[str, tuple[int, ...]] = {}
@@ -70,7 +90,11 @@ class PieceTransducer:
 
     def _merged(self, text: str) -> list[str]:
         """What BPE makes of a short text; only to weigh arcs."""
-        parts = list(text)
+        return self._last_merge(text)[0]
+
+    def _last_merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """What BPE makes of a short text, and the two parts it merges last."""
+        parts, last = list(text), None
         while len(parts) > 1:
             best, at = -_INFINITE, -1
             for i in range(len(parts) - 1):
@@ -79,76 +103,114 @@ class PieceTransducer:
                     best, at = self.scores[pair], i
             if at < 0:
                 break
+            last = parts[at], parts[at + 1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return parts, last
 
     def _joins(self, last: str, piece: str) -> bool:
-        """Whether the arc of ``piece`` after ``last`` (empty: at the start) has a finite weight."""
+        """Whether the arc of ``piece`` after ``last`` (empty: at the start) has a finite weight.
+
+        The merges that made the two are undone, the latest first; the weight is infinite if the parts that then stand side
+        by side would have been merged before.
+        """
         if len(self.pairs) >= KEPT_PAIRS:
-            # In place: a path being found holds on to the dictionary.
-            self.old_pairs = dict(self.pairs)
-            self.pairs.clear()
+            self.old_pairs, self.pairs = self.pairs, {}
         ok = self.old_pairs.get((last, piece))
         if ok is None:
-            ok = self._merged(last + piece) == ([last, piece] if last else [piece])
+            ok = self._apart(last, piece)
         self.pairs[last, piece] = ok
         return ok
 
+    def _apart(self, a: str, b: str) -> bool:
+        rank, made = self.rank, self.made
+        if b not in made or (a and a not in made):
+            return False
+        if not a:
+            return True
+        if a in self.uneven or b in self.uneven:
+            return self._merged(a + b) == [a, b]
+        limit = _INFINITE
+        while True:
+            if rank.get(a + b, _INFINITE) < limit:
+                return False
+            left, right = made[a], made[b]
+            if left and (not right or rank[a] > rank[b]):
+                limit, a = rank[a], left[1]
+            elif right:
+                # What lies further left goes first among merges of one rank.
+                limit, b = rank[b] + 0.5, right[0]
+            else:
+                return True
+
     def _fallback(self, character: str) -> list[int]:
         own = [self.bytes.get(b) for b in character.encode("utf-8", "surrogatepass")]
         return [self.unknown] if None in own else own
 
-    def path(self, part: str) -> tuple[int, ...]:
-        """The ids of the shortest path through the lattice of ``part``, a normalised text without a cut inside."""
-        kept = self.paths.get(part)
-        if kept is not None:
-            return kept
-        kept = self.old_paths.get(part)
-        if kept is not None:
-            self.paths[part] = kept
-            return kept
-        n = len(part)
-        ids, states, pairs = self.ids, self.states, self.pairs
-        # States by position: last piece -> weight, position and last piece before. BPE has one result for a text, so few are ever live.
-        live: list[dict[str, tuple[float, int, str]]] = [{} for _ in range(n + 1)]
-        live[0][""] = (0.0, -1, "")
-        for i in range(n):
-            if not live[i]:
-                continue
-            for last, (weight, _, _) in live[i].items():
-                j = i + 1
-                text = part[i]
-                if text not in ids:
-                    there = live[j]
-                    if weight + FALLBACK < there.get(text, (_INFINITE,))[0]:
-                        there[text] = (weight + FALLBACK, i, last)
-                while True:
-                    if text in ids:
-                        ok = pairs.get((last, text))
-                        if (self._joins(last, text) if ok is None else ok) and weight + 1 < live[j].get(text, (_INFINITE,))[0]:
-                            live[j][text] = (weight + 1, i, last)
-                    if j == n or text not in states:
+    def _longest(self, part: str, at: int) -> str:
+        """The longest piece that starts there, or else the character, which falls back to bytes."""
+        ids, states = self.ids, self.states
+        j, n = at + 1, len(part)
+        text = best = part[at]
+        while j < n and text in states:
+            j += 1
+            text = part[at:j]
+            if text in ids:
+                best = text
+        return best
+
+    def path(self, part: str) -> list[int]:
+        """The ids of the shortest path through the lattice of ``part``, a normalised text.
+
+        BPE has one result for each prefix, so at most one state of a position has a finite weight: the first path that reaches
+        a position is its shortest, and the search tries the longest arcs first. A position from which none went on is dead.
+        """
+        n, ids, shorter, pairs = len(part), self.ids, self.shorter, self.pairs
+        out, dead, i, last = [], set(), 0, ""
+        piece = self._longest(part, 0)
+        while True:
+            while piece:
+                if i + len(piece) not in dead:
+                    ok = pairs.get((last, piece))
+                    if ok is None:
+                        ok = self._joins(last, piece) if piece in ids and (last in ids or not last) else True
+                        pairs = self.pairs
+                    if ok:
                         break
-                    j += 1
-                    text = part[i:j]
-        last, at, out = min(live[n], key=lambda k: live[n][k][0]), n, []
-        while at:
-            out.append(last)
-            _, at, last = live[at][last]
-        found = tuple(i for piece in reversed(out) for i in ([ids[piece]] if piece in ids else self._fallback(piece)))
-        if len(self.paths) >= KEPT:
-            self.old_paths, self.paths = self.paths, {}
-        self.paths[part] = found
-        return found
+                piece = shorter.get(piece)
+            if piece:
+                out.append(piece)
+                i += len(piece)
+                if i == n:
+                    break
+                last, piece = piece, self._longest(part, i)
+            else:
+                dead.add(i)
+                piece = out.pop()
+                i -= len(piece)
+                last = out[-1] if out else ""
+                piece = shorter.get(piece)
+        return [x for piece in out for x in ([ids[piece]] if piece in ids else self._fallback(piece))]
 
     def _part(self, part: str) -> tuple[int, ...]:
-        """The same for any part: no piece joins two characters that no piece has side by side, so all paths pass between them."""
-        joined, at, out = self.joined, 0, ()
+        """The same, kept for repeated parts; a long one is cut where no piece joins two characters, as all paths pass there."""
+        found = self.paths.get(part)
+        if found is None:
+            found = self.old_paths.get(part)
+            if found is None:
+                found = tuple(self.path(part) if len(part) <= LONG else self._cut(part))
+            if len(part) <= LONG:
+                if len(self.paths) >= KEPT:
+                    self.old_paths, self.paths = self.paths, {}
+                self.paths[part] = found
+        return found
+
+    def _cut(self, part: str) -> list[int]:
+        joined, at, out = self.joined, 0, []
         for i, two in enumerate(zip(part, part[1:], strict=False), 1):
             if two not in joined:
                 out += self.path(part[at:i])
                 at = i
-        return out + self.path(part[at:]) if at else self.path(part)
+        return out + self.path(part[at:])
 
     @staticmethod
     def parts(text: str) -> list[str]:
