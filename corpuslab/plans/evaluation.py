@@ -119,10 +119,10 @@ def crawl_progress(spark: SparkSession, d: str) -> DataFrame:
     return pages.groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("page_id") % 3 == 0).alias("done"))
 
 
-@query("SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT page_id FROM pages WHERE page_id % 4 = 1)")
+@query("SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT page_id FROM pages WHERE url LIKE '%.com%')")
 def pending_pages(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select("page_id", "url")
-    return pages.join(pages.where("page_id % 4 = 1").select("page_id"), "page_id", "left_anti")
+    return pages.join(pages.where("url LIKE '%.com%'").select("page_id"), "page_id", "left_anti")
 
 
 @query("SELECT coalesce(lang, 'all') AS grp, count(*) AS total, count(*) FILTER (quality = 1) AS correct FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)")

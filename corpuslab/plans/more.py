@@ -11,10 +11,10 @@ from ..sources.readers import joined_text, ordered_union
 from .registry import query, table
 
 
-@query("SELECT DISTINCT lang, source FROM documents WHERE doc_id % 2 = 0 UNION SELECT DISTINCT lang, source FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT DISTINCT lang, source FROM documents WHERE lang <> 'en' UNION SELECT DISTINCT lang, source FROM documents WHERE n_chars > 200")
 def union_distinct(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return docs.where("doc_id % 2 = 0").select("lang", "source").union(docs.where("doc_id % 3 = 0").select("lang", "source")).distinct()
+    return docs.where("lang <> 'en'").select("lang", "source").union(docs.where("n_chars > 200").select("lang", "source")).distinct()
 
 
 @query("SELECT source FROM documents WHERE lang = 'fr' INTERSECT SELECT source FROM documents WHERE lang = 'de'")
