@@ -1,8 +1,9 @@
 """URL filter: host and path rules first, and for the rest a ratio of two character language models.
 
 The models are smoothed variable-order Markov models of URL bytes, one of URLs that the rules allow, one of those that they
-block: contexts of up to ``ORDER`` bytes, interpolated from the longest down by Witten-Bell weights. Counts of all such URLs
-are gathered by Spark into slots by hash, so a model has a fixed size however many URLs there are. A URL's score is the
+block: contexts of up to ``ORDER`` bytes, interpolated from the longest down by Witten-Bell weights. Counts are kept by the
+n-gram itself, of all n-grams, in tables that grow with the input; the n-grams of the URLs to score are joined to them. Only the
+values of the ``HOT`` n-grams that occur most often are broadcast, for they would be hot keys of that join. A URL's score is the
 difference of the models' log-likelihoods divided by its length; the least score to allow is the one that separates best
 (balanced accuracy) a fifth of the ruled URLs that the models haven't seen.
 
@@ -17,17 +18,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import mixed, steps
+from .shared import steps, written
 
 ORDER = 5
-GRAM_BITS, CONTEXT_BITS = 19, 18
+#: Bits of a byte of an n-gram: 0 is before the start, others are 1 more. ORDER + 1 of them fit into 64 bits.
+BITS = 9
+HOT = 1 << 16
 #: Scores are calibrated by bins of 1 / BINS from -LIMIT to LIMIT.
 BINS, LIMIT = 200, 8
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Differences of log-likelihoods are summed as multiples of 1 / UNIT, so that sums don't depend on their order.
+UNIT = 1 << 32
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -48,113 +52,122 @@ def longest_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]
     return rule, verdict
 
 
-def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte of each URL: its row, and the slots of its n-grams and contexts, one column for each order from 0."""
+def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each URL: its row, and the byte with the ``ORDER`` bytes before it, the last one in the lowest bits."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     start, end = int(offsets[0]), int(offsets[-1])
-    data = np.frombuffer(column.buffers()[2], np.uint8)[start:end].astype(np.uint64) + np.uint64(1) if end > start else np.zeros(0, np.uint64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[start:end].astype(np.int64) + 1 if end > start else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(column)), np.diff(offsets))
     since = np.arange(len(data)) - (offsets[:-1] - start)[row]
-    context = np.zeros(len(data), np.uint64)
-    grams, contexts = [], []
-    for k in range(ORDER + 1):
-        if k:  # the byte k before, 0 before the start
-            before = np.zeros(len(data), np.uint64)
-            before[k:] = data[: len(data) - k]
-            before[since < k] = 0
-            context = context * _STEP + before + np.uint64(k)
-        contexts.append((mixed(context + np.uint64(k)) >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64))
-        grams.append((mixed((context + np.uint64(k)) * _STEP ^ (data << np.uint64(32))) >> np.uint64(64 - GRAM_BITS)).astype(np.int64))
-    return row, np.stack(grams, 1), np.stack(contexts, 1)
-
-
-class Ratio:
-    """The two models and the score from which a URL is allowed."""
-
-    def __init__(self, grams: np.ndarray, contexts: np.ndarray, kinds: np.ndarray, least: float = 0.0):
-        self.grams, self.contexts, self.kinds, self.least = grams, contexts, kinds, least
-
-    def log_likelihood(self, side: int, grams: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        p = np.full(len(grams), 1 / 256)
-        for k in range(grams.shape[1]):
-            total, kinds, seen = self.contexts[side][contexts[:, k]], self.kinds[side][contexts[:, k]], self.grams[side][grams[:, k]]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                p = np.where(total > 0, (np.minimum(seen, total) + kinds * p) / (total + kinds), p)
-        return np.log(p)
-
-    def scores(self, column: pa.Array) -> np.ndarray:
-        row, grams, contexts = _grams(column)
-        n = np.bincount(row, minlength=len(column))
-        difference = np.bincount(row, self.log_likelihood(0, grams, contexts) - self.log_likelihood(1, grams, contexts), len(column))
-        return difference / np.maximum(n, 1)
-
-
-def fit(ruled: DataFrame) -> Ratio | None:
-    """The models from rows (url, verdict) that the rules decide; null if they allow nothing or block nothing."""
-    spark = ruled.sparkSession
-    fold = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    grams = data.copy()
+    for k in range(1, ORDER + 1):  # the byte k before
+        before = np.zeros(len(data), np.int64)
+        before[k:] = data[: len(data) - k]
+        before[since < k] = 0
+        grams |= before << (BITS * k)
+    return row, grams
+
+
+def gram_tables(urls: DataFrame) -> list[DataFrame]:
+    """By order, the n-grams of ``urls`` (url, side, n, train): gram, n0 and n1 by side in what is learned from, w in the rest."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "url", 4 << 20):
+            row, grams = _grams(batch.column(0))
+            unique, at = np.unique(grams, return_inverse=True)
+            side, n, train = (pc.fill_null(batch.column(i).cast(pa.int64()), 0).to_numpy() for i in (1, 2, 3))
+            weights = (np.where((train == 1) & (side == 0), n, 0), np.where((train == 1) & (side == 1), n, 0), 1 - train)
+            sums = [pa.array(np.bincount(at, w[row], len(unique)).astype(np.int64)) for w in weights]
+            yield pa.RecordBatch.from_arrays([pa.array(unique), *sums], ["gram", "n0", "n1", "w"])
+
+    tables: list[DataFrame] = []
+    grams = urls.select("url", "side", "n", F.col("train").cast("int")).mapInArrow(counted, "gram bigint, n0 bigint, n1 bigint, w bigint")
+    for k in range(ORDER, -1, -1):
+        gram = F.col("gram").bitwiseAND((1 << BITS * (k + 1)) - 1).alias("gram")
+        grams = written(grams.groupBy(gram).agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "w"))), "grams")
+        tables.insert(0, grams)
+    return tables
+
+
+def differences(tables: list[DataFrame]) -> DataFrame:
+    """gram, w and the models' difference of log-likelihoods (in 1 / UNIT) of each n-gram of the highest order with w."""
+    below = None
+    for k, table in enumerate(tables):
+        same = Window.partitionBy("context")  # 257 rows at most
+        at = table.withColumn("context", F.shiftright("gram", BITS))
+        at = at.withColumns({f"t{i}": F.sum(f"n{i}").over(same) for i in (0, 1)} | {f"d{i}": F.sum((F.col(f"n{i}") > 0).cast("long")).over(same) for i in (0, 1)}).where("w > 0")
+        if below is None:
+            at = at.withColumns({f"q{i}": F.lit(1 / 256) for i in (0, 1)})
+        else:
+            at = at.withColumn("rest", F.col("gram").bitwiseAND((1 << BITS * k) - 1)).join(below.withColumnRenamed("gram", "rest"), "rest")
+        p = (F.when(F.col(f"t{i}") > 0, (F.col(f"n{i}") + F.col(f"d{i}") * F.col(f"q{i}")) / (F.col(f"t{i}") + F.col(f"d{i}"))).otherwise(F.col(f"q{i}")).alias(f"q{i}") for i in (0, 1))
+        below = at.select("gram", *p, *(["w"] if k == len(tables) - 1 else []))
+    return below.select("gram", "w", F.round((F.log("q0") - F.log("q1")) * UNIT).cast("bigint").alias("d"))
+
+
+def ratios(urls: DataFrame, models: DataFrame, hot: int = HOT) -> DataFrame:
+    """url, side, n and ratio of ``urls``."""
+    most = written(models.orderBy(F.desc("w"), "gram").limit(hot), "hot").toPandas().sort_values("gram")  # cut on executors
+    shared = urls.sparkSession.sparkContext.broadcast((most["gram"].to_numpy(np.int64), most["d"].to_numpy(np.int64)))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, d = shared.value
         for batch in steps(batches, "url", 1 << 20):
-            row, grams, contexts = _grams(batch.column(0))
-            side = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[row][:, None]
-            # A context's kinds are its distinct grams, which only the whole table knows: count grams by context.
-            keys, n = np.unique(((side << CONTEXT_BITS | contexts) << GRAM_BITS | grams).ravel(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-
-    train = ruled.where(~fold).select("url", (F.col("verdict") == "block").cast("int").alias("side"))
-    counts = train.mapInArrow(counted, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    split = counts.select(F.shiftright("key", GRAM_BITS + CONTEXT_BITS).alias("side"), F.col("key").bitwiseAND((1 << GRAM_BITS) - 1).alias("gram"), F.shiftright("key", GRAM_BITS).bitwiseAND((1 << CONTEXT_BITS) - 1).alias("context"), "n")
-    # At most 2 * 2 ** GRAM_BITS and 2 * 2 ** CONTEXT_BITS rows, whatever the input.
-    by_gram = split.groupBy("side", "gram").agg(F.sum("n").alias("n")).toPandas()
-    by_context = split.groupBy("side", "context").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()
-    grams, contexts, kinds = np.zeros((2, 1 << GRAM_BITS), np.float32), np.zeros((2, 1 << CONTEXT_BITS), np.float32), np.zeros((2, 1 << CONTEXT_BITS), np.float32)
-    grams[by_gram["side"], by_gram["gram"]] = by_gram["n"]
-    contexts[by_context["side"], by_context["context"]] = by_context["n"]
-    kinds[by_context["side"], by_context["context"]] = by_context["kinds"]
-    if not (contexts.sum(1) > 0).all():
-        return None
-    model = Ratio(grams, contexts, kinds)
-    shared = spark.sparkContext.broadcast(model)
-
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "url", 1 << 20):
-            at = np.clip(np.floor(shared.value.scores(batch.column(0)) * BINS), -LIMIT * BINS, LIMIT * BINS).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(1)], ["bin", "side"])
-
-    seen = ruled.where(fold).select("url", (F.col("verdict") == "block").cast("int").alias("side")).mapInArrow(binned, "bin bigint, side int")
-    table = seen.groupBy("bin", "side").agg(F.count("*").alias("n")).toPandas()
+            row, grams = _grams(batch.column(0))
+            at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
+            held = known[at] == grams if len(known) else np.zeros(len(grams), bool)
+            total = np.zeros(batch.num_rows, np.int64)
+            np.add.at(total, row[held], d[at[held]])
+            others = np.concatenate([[0], np.cumsum(np.bincount(row[~held], minlength=batch.num_rows))])
+            rest = pa.ListArray.from_arrays(pa.array(others, pa.int32()), pa.array(grams[~held]))
+            length = np.bincount(row, minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(length), pa.array(total), rest], ["url", "side", "n", "length", "total", "rest"])
+
+    parts = written(urls.select("url", "side", "n").mapInArrow(summed, "url string, side int, n bigint, length bigint, total bigint, rest array<bigint>"), "parts")
+    rest = parts.select("url", F.explode("rest").alias("gram")).join(models.select("gram", "d"), "gram").groupBy("url").agg(F.sum("d").alias("more"))
+    total = F.col("total") + F.coalesce("more", F.lit(0))
+    return parts.join(rest, "url", "left").select("url", "side", "n", (total / UNIT / F.greatest("length", F.lit(1))).alias("ratio"))
+
+
+def least_ratio(held_out: DataFrame) -> float:
+    """The ratio that separates the sides of ``held_out`` (side, n, ratio) best; 0 if it lacks a side."""
+    at = F.greatest(F.least(F.floor(F.col("ratio") * BINS), F.lit(LIMIT * BINS)), F.lit(-LIMIT * BINS)).alias("bin")
+    table = held_out.groupBy(at, "side").agg(F.sum("n").alias("n")).toPandas()
     by_side = np.zeros((2, 2 * LIMIT * BINS + 2))
-    by_side[table["side"], table["bin"] + LIMIT * BINS] = table["n"]
+    by_side[table["side"].to_numpy(np.int64), table["bin"].to_numpy(np.int64) + LIMIT * BINS] = table["n"]
     total = by_side.sum(1)
-    if (total > 0).all():
-        # Share of allowed ones at or above a bin, and of blocked ones below it.
-        right = by_side[0][::-1].cumsum()[::-1] / total[0] + (by_side[1].cumsum() - by_side[1]) / total[1]
-        best = np.flatnonzero(right >= right.max() - 1e-12)
-        model.least = (best[len(best) // 2] - LIMIT * BINS) / BINS  # the middle of what separates as well
-    return model
+    if not (total > 0).all():
+        return 0.0
+    # Share of allowed ones at or above a bin, and of blocked ones below it.
+    right = by_side[0][::-1].cumsum()[::-1] / total[0] + (by_side[1].cumsum() - by_side[1]) / total[1]
+    best = np.flatnonzero(right >= right.max() - 1e-12)
+    return (best[len(best) // 2] - LIMIT * BINS) / BINS  # the middle of what separates as well
 
 
-def judge(pages: DataFrame, *, url: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+def judge(pages: DataFrame, *, url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, hot: int = HOT) -> DataFrame:
     """``pages`` with host, path, rule, verdict and ratio (null where a rule decides); columns of these names are replaced."""
     host, path = host_and_path(F.col(url))
     named = pages.withColumns({"host": host, "path": path})
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    named = named.withColumns({"rule": rule, "verdict": verdict})
-    decided = pages.select(F.col(url).alias("url")).withColumns({"host": host_and_path(F.col("url"))[0], "path": host_and_path(F.col("url"))[1]})
-    model = fit(decided.select("url", longest_rule(F.col("host"), F.col("path"), rules)[1].alias("verdict")).where("verdict IS NOT NULL"))
-    if model is None:
-        return named.withColumns({"ratio": F.lit(None).cast("double"), "verdict": F.coalesce("verdict", F.lit("allow"))})
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-
-    @F.arrow_udf("double")
-    def ratio(column: pa.Array) -> pa.Array:
-        return pa.array(shared.value.scores(column), pa.float64())
-
-    return named.withColumn("ratio", F.when(F.col("verdict").isNull(), ratio(F.coalesce(F.col(url), F.lit(""))))).withColumn(
-        "verdict", F.coalesce("verdict", F.when(F.col("ratio") >= model.least, "allow").otherwise("block"))
-    )
+    named = named.withColumns({"rule": rule, "verdict": verdict, "ratio": F.lit(None).cast("double")})
+    urls = pages.select(F.coalesce(F.col(url), F.lit("")).alias("url")).groupBy("url").agg(F.count("*").alias("n"))
+    host, path = host_and_path(F.col("url"))
+    urls = urls.withColumns({"host": host, "path": path}).withColumn("verdict", longest_rule(F.col("host"), F.col("path"), rules)[1])
+    side = F.when(F.col("verdict").isNotNull(), (F.col("verdict") == "block").cast("int"))
+    train = F.col("verdict").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(5)) != 0)
+    urls = written(urls.select("url", "n", side.alias("side"), train.alias("train")), "urls")
+    tables = gram_tables(urls)
+    learned = tables[0].agg(F.sum("n0"), F.sum("n1")).first()
+    if not (learned[0] and learned[1]):
+        return named.withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
+    models = written(differences(tables), "models")
+    scored = written(ratios(urls.where("NOT train"), models, hot), "ratios")
+    least = least_ratio(scored.where("side IS NOT NULL"))
+    scored = scored.where("side IS NULL").select(F.col("url").alias("_url"), F.col("ratio").alias("_ratio"))
+    open_ = named.where("verdict IS NULL").withColumn("_url", F.coalesce(F.col(url), F.lit(""))).join(scored, "_url")
+    open_ = open_.withColumns({"ratio": F.col("_ratio"), "verdict": F.when(F.col("_ratio") >= least, "allow").otherwise("block")})
+    return named.where("verdict IS NOT NULL").unionByName(open_.select(*named.columns))
 
 
 def url_report(pages: DataFrame) -> DataFrame:
