@@ -1,6 +1,7 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 Each text becomes a set of five-word shingles, weighed by how often they occur times their words' inverse document frequency.
+The frequencies of all words count: those of the most frequent words are broadcast, all others are joined to the texts.
 Improved consistent weighted sampling (Ioffe, 2010) draws ``BANDS * ROWS`` samples from it, such that two texts draw the same
 one with the probability of their weighted Jaccard similarity. Texts that agree on all samples of a band share a bucket
 (at similarity 0.8 they miss all buckets with probability 0.0002), and a link is a pair of one bucket whose exact weighted
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SIMILARITY, Bitmap, WordWeights, mixed, steps, texts, weighted_jaccard, written
+from .shared import SIMILARITY, Bitmap, WordWeights, mixed, rare_words, steps, texts, weighted_jaccard, with_rare, written
 
 BANDS, ROWS = 16, 4
 #: Links that one task joins into components, at most; and by how much rounds grow.
@@ -76,7 +77,7 @@ class Sampler:
 
 
 def signature_table(docs: DataFrame, weights: WordWeights) -> DataFrame:
-    """doc_id, two halves of the text's hash, and the keys of its bands (null without shingles)."""
+    """doc_id, two halves of the text's hash, and the keys of its bands (null without shingles); of rows (doc_id, text, rare)."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +85,7 @@ def signature_table(docs: DataFrame, weights: WordWeights) -> DataFrame:
         for batch in steps(batches, "text"):
             column = texts(batch).dictionary_encode()  # copies within a step are sampled once
             unique, of = column.dictionary, column.indices.to_numpy()
-            row, shingle, weight = shared.value.shingles(unique)
+            row, shingle, weight = shared.value.joined(batch.column(2)).shingles(unique)
             drawn = sampler.signatures(row, shingle, weight, len(unique))
             keys = np.zeros((len(unique), BANDS), np.uint64)
             for k in range(ROWS):
@@ -145,16 +146,17 @@ def components(edges: DataFrame, here: int = HERE) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, weights: WordWeights, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts (in ``docs``) are as similar."""
+    """Those of ``pairs`` (a, b) whose texts (in ``docs``: doc_id, text, rare) are as similar."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text_a", 4 << 20):
-            alike = weighted_jaccard(shared.value, texts(batch, "text_a"), texts(batch, "text_b")) >= similarity - 1e-9
+            known = shared.value.joined(pa.concat_arrays([batch.column(4), batch.column(5)]))
+            alike = weighted_jaccard(known, texts(batch, "text_a"), texts(batch, "text_b")) >= similarity - 1e-9
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(alike))
 
-    a, b = (docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(compared, "a bigint, b bigint")
+    a, b = (docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"), F.col("rare").alias(f"rare_{x}")) for x in "ab")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b", "rare_a", "rare_b").mapInArrow(compared, "a bigint, b bigint")
 
 
 def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -168,18 +170,19 @@ def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.mapInArrow(held, docs.schema)
 
 
-def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and class_id, the least id of its class, one row for each row of ``docs``."""
+def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, frequent: int = 1 << 18) -> DataFrame:
+    """doc_id and class_id, the least id of its class, one row for each row of ``docs``. ``frequent`` words have their weights broadcast."""
     everything = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     docs = everything.where("doc_id IS NOT NULL")
-    weights = WordWeights.of(docs)
-    signed = written(signature_table(docs, weights), "signatures")
+    weights, others = WordWeights.of_all(docs, most=frequent)
+    rare = rare_words(docs, weights, others)
+    signed = written(signature_table(with_rare(docs, rare), weights), "signatures")
     copies = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
     copies = written(copies, "copies")
     buckets = copies.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), F.col("rep").alias("id"))
     least = buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key", "a")
     buckets = written(buckets.join(least, "key"), "buckets")
-    texts_needed = written(_needed(docs, buckets.select("id").distinct()).dropDuplicates(["doc_id"]), "texts")
+    texts_needed = written(with_rare(_needed(docs, buckets.select("id").distinct()).dropDuplicates(["doc_id"]), rare), "texts")
 
     pairs = buckets.where("a < id").select("a", F.col("id").alias("b")).distinct()
     links = written(verified(pairs, texts_needed, weights, similarity), "links")

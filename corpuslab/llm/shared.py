@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -209,18 +210,21 @@ class Bitmap:
 class WordWeights:
     """Relative inverse document frequencies of words, from 1 (in all documents) to 2 (in hardly any).
 
-    A fixed number of the most frequent words have their own weight; all others share the weight of the least frequent
-    of those. A shingle's weight in a document is how often it occurs there times the mean weight of its words. Words and
+    ``of`` gives a fixed number of the most frequent words their own weight, and all others that of the least frequent of those.
+    ``of_all`` leaves none out: it also returns the table of the less frequent words, which ``with_rare`` joins to texts and
+    ``joined`` takes up; what is in neither occurs in one document. A shingle's weight in a document is how often it occurs there times the mean weight of its words. Words and
     not shingles are weighed: a shingle that many copies share would else weigh next to nothing, and copies would not match.
     """
 
     def __init__(self, hashes: np.ndarray, weights: np.ndarray, other: float):
         order = np.argsort(hashes)
         self.hashes, self.weights, self.other = hashes[order], weights[order], other
+        self.rare: WordWeights | None = None
+        self.rows = 0
 
-    @classmethod
-    def of(cls, docs: DataFrame, text: str = "text", most: int = 1 << 18) -> WordWeights:
-        """From all rows of ``docs``; at most ``most`` words of at least two documents have their own weight."""
+    @staticmethod
+    def _frequencies(docs: DataFrame, text: str) -> tuple[int, DataFrame]:
+        """The number of rows, and word and df of the words of more than one row."""
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in steps(batches, text, 32 << 20):
@@ -230,19 +234,54 @@ class WordWeights:
                 df = np.bincount(pairs, minlength=len(vocabulary))
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(df.astype(np.int64))], ["word", "df"])
 
-        rows = docs.count()
-        table = written(docs.select(text).mapInArrow(counted, "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df")).where("df > 1"), "words")
-        by_df = table.groupBy("df").agg(F.count("*").alias("n"))  # the least frequency that leaves at most ``most`` words
-        least = by_df.select("df", F.sum("n").over(Window.orderBy(F.desc("df"))).alias("n")).where(F.col("n") <= most).agg(F.min("df")).first()[0] or 2
+        return docs.count(), written(docs.select(text).mapInArrow(counted, "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df")).where("df > 1"), "words")
+
+    @staticmethod
+    def _least(table: DataFrame, most: int) -> int | None:
+        """The least frequency that leaves at most ``most`` words; null if there is none."""
+        by_df = table.groupBy("df").agg(F.count("*").alias("n"))
+        return by_df.select("df", F.sum("n").over(Window.orderBy(F.desc("df"))).alias("n")).where(F.col("n") <= most).agg(F.min("df")).first()[0]
+
+    @staticmethod
+    def _weigh(df: np.ndarray, rows: int) -> np.ndarray:
+        return 1 + np.log((1 + rows) / (1 + np.minimum(df, rows))) / np.log(1 + max(rows, 1))
+
+    @classmethod
+    def of(cls, docs: DataFrame, text: str = "text", most: int = 1 << 18) -> WordWeights:
+        """From all rows of ``docs``; at most ``most`` words of at least two documents have their own weight."""
+        rows, table = cls._frequencies(docs, text)
+        least = cls._least(table, most) or 2
         found = table.where(F.col("df") >= least).toPandas()
-        weigh = lambda df: 1 + np.log((1 + rows) / (1 + np.minimum(df, rows))) / np.log(1 + max(rows, 1))
-        return cls(found["word"].to_numpy(np.int64).view(np.uint64), weigh(found["df"].to_numpy(np.float64)), float(weigh(np.float64(least if rows else 0))))
+        return cls(found["word"].to_numpy(np.int64).view(np.uint64), cls._weigh(found["df"].to_numpy(np.float64), rows), float(cls._weigh(np.float64(least if rows else 0), rows)))
+
+    @classmethod
+    def of_all(cls, docs: DataFrame, text: str = "text", most: int = 1 << 18) -> tuple[WordWeights, DataFrame]:
+        """From all rows of ``docs``: the weights of at most ``most`` words, and word and df of all others of more than one document."""
+        rows, table = cls._frequencies(docs, text)
+        least = cls._least(table, most)
+        frequent = F.col("df") >= least if least else F.lit(False)
+        found = table.where(frequent).toPandas()
+        weights = cls(found["word"].to_numpy(np.int64).view(np.uint64), cls._weigh(found["df"].to_numpy(np.float64), rows), float(cls._weigh(np.float64(min(rows, 1)), rows)))
+        weights.rows = rows
+        return weights, table.where(~frequent)
+
+    def joined(self, rare: pa.Array) -> WordWeights:
+        """Also with the weights of the rarer words in ``rare``, lists of (word, df)."""
+        flat = rare.flatten()
+        if not len(flat):
+            return self
+        word, df = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        word, at = np.unique(word.astype(np.int64), return_index=True)
+        out = copy.copy(self)
+        out.rare = WordWeights(word.view(np.uint64), self._weigh(df[at].astype(np.float64), self.rows), self.other)
+        return out
 
     def of_words(self, hashes: np.ndarray) -> np.ndarray:
+        other = self.rare.of_words(hashes) if self.rare else np.full(len(hashes), self.other)
         if not len(self.hashes):
-            return np.full(len(hashes), self.other)
+            return other
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.weights[at], self.other)
+        return np.where(self.hashes[at] == hashes, self.weights[at], other)
 
     def shingles(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, hash and weight of each distinct shingle of each text, by row."""
@@ -262,6 +301,32 @@ class WordWeights:
         return row[first][by_row], found[first][by_row], (mean[first] * count)[by_row]
 
 
+def rare_words(docs: DataFrame, weights: WordWeights, table: DataFrame) -> DataFrame:
+    """key (of a text, by hash) and rare: the (word, df) of ``table`` that the text holds, for texts that hold any.
+
+    Texts of one key share a row, which then holds too much for each; that changes no word's weight.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((weights.hashes, Bitmap.of(table.select("word"))))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, some = shared.value
+        for batch in steps(batches):
+            codes, offsets, vocabulary, hashes = plain_words(texts(batch))
+            asked = some.has(hashes.view(np.int64)) & ~np.isin(hashes, frequent)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[asked[codes]]
+            pairs = np.unique(row * max(len(vocabulary), 1) + codes[asked[codes]])
+            keys = batch.column(0).to_numpy()[pairs // max(len(vocabulary), 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hashes.view(np.int64)[pairs % max(len(vocabulary), 1)])], ["key", "word"])
+
+    asked = docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(held, "key bigint, word bigint").distinct()
+    return written(asked.join(table, "word").groupBy("key").agg(F.collect_list(F.struct("word", "df")).alias("rare")), "rare")
+
+
+def with_rare(docs: DataFrame, rare: DataFrame) -> DataFrame:
+    """``docs`` with the column ``rare`` of ``rare_words``, null for texts that have none."""
+    return docs.withColumn("key", F.xxhash64("text")).join(rare, "key", "left").select(*docs.columns, "rare")
+
+
 def weighted_jaccard(weights: WordWeights, a: pa.Array, b: pa.Array) -> np.ndarray:
     """The weighted Jaccard similarity of the shingles of each text of ``a`` and the text of ``b`` beside it; 0 without shingles."""
     n = len(a)

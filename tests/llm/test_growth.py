@@ -3,10 +3,12 @@
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from corpuslab.llm import url_filter
+from corpuslab.llm import near_dedup, shared, url_filter
 
 
 def brute_ratio(train, url):
@@ -59,3 +61,22 @@ def test_url_grams_grow(spark):
     texts = [r.url for r in urls.select("url").collect()]
     assert whole[5].count() == len({(" " * 5 + t)[i : i + 6] for t in texts for i in range(len(t))})
     assert whole[0].count() == 17
+
+
+def test_every_word_weighed(spark):
+    """Each word has the weight of its own document frequency, however few words' weights are broadcast."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(w)}" for w in rng.zipf(1.3, 60) % 500) for _ in range(80)]
+    texts += [" ".join([*t.split()[:k], "other", *t.split()[k + 1 :]]) for t in texts for k in (20, 59)]  # some near 0.8
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, None), (901, "")], "doc_id bigint, text string")
+    df = Counter(w for t in texts for w in set(t.split()))
+    rows = len(texts) + 2
+    weights, others = shared.WordWeights.of_all(docs, most=8)
+    assert len(weights.hashes) <= 8
+    for r in shared.with_rare(docs, shared.rare_words(docs, weights, others)).collect():
+        words = (r.text or "").split()
+        lists = pa.array([r.rare], pa.list_(pa.struct([("word", pa.int64()), ("df", pa.int64())])))
+        found = weights.joined(lists).of_words(np.array([shared.word_hash(w) for w in words], np.uint64))
+        assert found == pytest.approx([1 + math.log((1 + rows) / (1 + df[w])) / math.log(1 + rows) for w in words])
+    few, all_ = (sorted(map(tuple, near_dedup.near_duplicates(docs, frequent=n).collect())) for n in (8, 1 << 18))
+    assert few == all_ and len({c for _, c in all_}) < len(texts) - 40
