@@ -65,6 +65,27 @@ def running_until(df: DataFrame, by: list[str], order: list[str], amount: str, t
     return df.withColumn("running", F.sum(amount).over(over)).where(F.col("running") - F.col(amount) < target)
 
 
+def trim_to_shares(df: DataFrame, by: str, key: str, amount: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
+    """Each group cut to its share of the sum of ``amount`` over all of ``df``; ``kept`` is what is left of a row's amount.
+
+    Rows are in hash order, and the one that reaches the target is cut. Groups without a share are whole. The running sum is within
+    parts of the order, and over the parts' sums, so no task holds a group.
+    """
+    share = F.lit(None).cast("double")
+    for k, v in shares.items():
+        share = F.when(F.col(by) == k, F.lit(v)).otherwise(share)
+    total = df.agg(F.sum(amount).alias("_total"))
+    rows = df.withColumn("_order", order_of(F.col(key), seed)).withColumn("_part", F.substring("_order", 1, 3))
+    sums = rows.groupBy(by, "_part").agg(F.sum(amount).alias("_n"))
+    over = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(by).alias("_by"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before"))
+    within = F.sum(amount).over(Window.partitionBy(by, "_part").orderBy("_order", key).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_in", F.coalesce(within, F.lit(0))).join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p"))).crossJoin(F.broadcast(total))
+    left = F.floor(F.col("_total") * share) - F.col("_before") - F.col("_in")
+    rows = rows.withColumn("kept", F.when(share.isNull(), F.col(amount)).otherwise(F.least(F.col(amount), left)))
+    return rows.where(share.isNull() | (left > 0)).select(*df.columns, "kept")
+
+
 def identity_rows(df: DataFrame, key: str, source: str, target: str, percent: int, seed: int = 42) -> DataFrame:
     """``df`` and, for ``percent`` of it, rows whose source is their target."""
     part = F.conv(F.substring(order_of(F.col(key), seed), 1, 8), 16, 10).cast("bigint") % 100

@@ -118,6 +118,17 @@ def token_ratio_trim(spark: SparkSession, d: str) -> DataFrame:
     return S.running_until(docs, ["lang"], ["o", "doc_id"], "n_chars", 20000).select("doc_id")
 
 
+@query(
+    """WITH r AS (SELECT doc_id, lang, n_chars, sum(n_chars) OVER (PARTITION BY lang ORDER BY md5('42:' || cast(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_chars AS before FROM documents),
+ t AS (SELECT floor(cast(sum(n_chars) AS DOUBLE) * 0.50::DOUBLE) AS en, floor(cast(sum(n_chars) AS DOUBLE) * 0.45::DOUBLE) AS fr FROM documents)
+ SELECT doc_id, lang, cast(CASE lang WHEN 'en' THEN least(n_chars, en - before) WHEN 'fr' THEN least(n_chars, fr - before) ELSE n_chars END AS BIGINT) AS kept FROM r, t WHERE CASE lang WHEN 'en' THEN before < en WHEN 'fr' THEN before < fr ELSE true END"""
+)
+def token_share_trim(spark: SparkSession, d: str) -> DataFrame:
+    """Two languages cut to .50 and .45 of all tokens, for which characters stand in; the others are whole."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    return S.trim_to_shares(docs, "lang", "doc_id", "n_chars", {"en": 0.50, "fr": 0.45}).select("doc_id", "lang", "kept")
+
+
 @query("SELECT doc_id, identity FROM (SELECT doc_id, false AS identity FROM documents UNION ALL SELECT doc_id, true FROM documents WHERE cast('0x' || substr(md5('42:' || cast(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 10)")
 def identity_augment(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("s"), F.col("text").alias("t"))
