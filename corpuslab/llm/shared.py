@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import copy
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,18 +10,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import mixed, word_hashes
+
 #: Bytes of text that one step of a Python worker handles at once.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 #: Words of a shingle, and the similarity from which two texts are near duplicates.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path for a table that all executors see, under ``spark.checkpoint.dir``.
 
@@ -54,6 +52,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or with underscores behind it a name that ``columns`` don't have, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The text column as large strings, null as the empty text."""
     column = batch.column(batch.schema.get_field_index(name))
@@ -100,37 +106,11 @@ def ascii_words(column: pa.Array) -> Words:
     return Words(codes, vocabulary, offsets)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads all bits."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= _M1
-    x ^= x >> np.uint64(27)
-    x *= _M2
-    x ^= x >> np.uint64(31)
-    return x
-
-
 def word_hash(word: str) -> int:
+    """Of a word as it is written."""
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-def plain_word(word: str) -> str:
-    """A word for comparison: lower case, only letters and digits; empty if it has none."""
-    word = word.lower()
-    return word if word.isalnum() else "".join(c for c in word if c.isalnum())
-
-
-def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Codes of comparison words, their offsets by row, the comparison words, and their 64-bit hashes."""
-    words = ascii_words(column)
-    index: dict[str, int] = {}
-    to = np.fromiter((index.setdefault(p, len(index)) if (p := plain_word(w)) else -1 for w in words.vocabulary), np.int64, len(words.vocabulary))
-    codes, offsets = words.mapped(to, to >= 0)
-    vocabulary = list(index)
-    return codes, offsets, vocabulary, np.fromiter(map(word_hash, vocabulary), np.uint64, len(vocabulary))
-
-
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -171,7 +151,7 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Bitmap:
-    """A set of 64-bit integers by hash: ``2 ** bits`` bits whatever their number, which may hold too much but never too little."""
+    """A set of 64-bit integers by hash: ``2 ** bits`` bits, which may hold too much but never too little."""
 
     SLICE = 16
 
@@ -183,8 +163,13 @@ class Bitmap:
         return (mixed(values.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
     @classmethod
-    def of(cls, values: DataFrame, bits: int = 26) -> Bitmap:
-        """Of the one bigint column of ``values``. Executors set the bits of one slice each; the driver gets finished slices."""
+    def of(cls, values: DataFrame, least: int = 20, most: int = 28) -> Bitmap:
+        """Of the one bigint column of ``values``, with 16 bits for each value, but 2 ** ``most`` (32 MB) in all.
+
+        Beyond that it lets more pass, so whoever filters by it joins afterwards. Executors set the bits of one slice
+        each; the driver gets finished slices.
+        """
+        bits = min(most, max(least, int(values.count()).bit_length() + 4))
         size = 1 << (cls.SLICE - 3)
 
         def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,90 +193,94 @@ class Bitmap:
 
 
 class WordWeights:
-    """Relative inverse document frequencies of words, from 1 (in all documents) to 2 (in hardly any).
+    """Relative inverse document frequencies of words, from 1 (in all documents) to 2 (in a share of them too small to tell).
 
-    ``of`` gives a fixed number of the most frequent words their own weight, and all others that of the least frequent of those.
-    ``of_all`` leaves none out: it also returns the table of the less frequent words, which ``with_rare`` joins to texts and
-    ``joined`` takes up; what is in neither occurs in one document. A shingle's weight in a document is how often it occurs there times the mean weight of its words. Words and
+    Of all pairs of a document and a word in it a word has some share. Words with a share of ``1 / SHARES`` or more have the
+    weight of their document frequency, rarer ones that of exactly this share, which is the most. So the weights hang on
+    shares alone and not on how many documents there are, and at most ``SHARES`` words have to be known: that bounds what is
+    broadcast. A shingle's weight in a document is how often it occurs there times the mean weight of its words. Words and
     not shingles are weighed: a shingle that many copies share would else weigh next to nothing, and copies would not match.
     """
 
+    SHARES = 1 << 17
+    _SLOT_BITS = 20
+
     def __init__(self, hashes: np.ndarray, weights: np.ndarray, other: float):
         order = np.argsort(hashes)
         self.hashes, self.weights, self.other = hashes[order], weights[order], other
-        self.rare: WordWeights | None = None
-        self.rows = 0
 
-    @staticmethod
-    def _frequencies(docs: DataFrame, text: str) -> tuple[int, DataFrame]:
-        """The number of rows, and word and df of the words of more than one row."""
+    @classmethod
+    def of(cls, docs: DataFrame, text: str = "text") -> WordWeights:
+        """From the words of all rows of ``docs``."""
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in steps(batches, text, 32 << 20):
-                codes, offsets, vocabulary, hashes = plain_words(texts(batch, text))
-                row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-                pairs = np.unique(row * len(vocabulary) + codes) % max(len(vocabulary), 1)
-                df = np.bincount(pairs, minlength=len(vocabulary))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(df.astype(np.int64))], ["word", "df"])
+            held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        return docs.count(), written(docs.select(text).mapInArrow(counted, "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df")).where("df > 1"), "words")
+            def merged() -> tuple[np.ndarray, np.ndarray]:
+                word, of = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+                return word, np.bincount(of, np.concatenate([h[1] for h in held]), len(word)).astype(np.int64)
 
-    @staticmethod
-    def _least(table: DataFrame, most: int) -> int | None:
-        """The least frequency that leaves at most ``most`` words; null if there is none."""
-        by_df = table.groupBy("df").agg(F.count("*").alias("n"))
-        return by_df.select("df", F.sum("n").over(Window.orderBy(F.desc("df"))).alias("n")).where(F.col("n") <= most).agg(F.min("df")).first()[0]
+            for batch in steps(batches, text):
+                hashes, offsets, _ = word_hashes(texts(batch, text))
+                word, code = np.unique(hashes, return_inverse=True)
+                if not len(word):
+                    continue
+                row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+                held.append((word, np.bincount(np.unique(row * len(word) + code) % len(word), minlength=len(word))))
+                if sum(len(h[0]) for h in held) > 1 << 20:
+                    held = [merged()]
+                    if len(held[0][0]) > 1 << 19:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["word", "df"])
+                        held = []
+            if held:
+                word, df = merged()
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(df)], ["word", "df"])
+
+        table = written(docs.select(text).mapInArrow(counted, "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df")), "words")
+        rows, pairs = docs.count(), table.agg(F.sum("df")).first()[0] or 0
+        least = pairs / cls.SHARES
+        found = table.where(F.col("df") >= least).toPandas()
+        rarest = min(max(least / max(rows, 1), 1e-9), 0.5)  # a share of the documents
+        weigh = lambda share: 1 + np.log(np.clip(share, rarest, 1)) / np.log(rarest)
+        return cls(found["word"].to_numpy(np.int64).view(np.uint64), weigh(found["df"].to_numpy(np.float64) / max(rows, 1)), 2.0)
 
-    @staticmethod
-    def _weigh(df: np.ndarray, rows: int) -> np.ndarray:
-        return 1 + np.log((1 + rows) / (1 + np.minimum(df, rows))) / np.log(1 + max(rows, 1))
+    def __getstate__(self) -> tuple:
+        return self.hashes, self.weights, self.other
 
-    @classmethod
-    def of(cls, docs: DataFrame, text: str = "text", most: int = 1 << 18) -> WordWeights:
-        """From all rows of ``docs``; at most ``most`` words of at least two documents have their own weight."""
-        rows, table = cls._frequencies(docs, text)
-        least = cls._least(table, most) or 2
-        found = table.where(F.col("df") >= least).toPandas()
-        return cls(found["word"].to_numpy(np.int64).view(np.uint64), cls._weigh(found["df"].to_numpy(np.float64), rows), float(cls._weigh(np.float64(least if rows else 0), rows)))
+    def __setstate__(self, state: tuple) -> None:
+        self.hashes, self.weights, self.other = state
 
-    @classmethod
-    def of_all(cls, docs: DataFrame, text: str = "text", most: int = 1 << 18) -> tuple[WordWeights, DataFrame]:
-        """From all rows of ``docs``: the weights of at most ``most`` words, and word and df of all others of more than one document."""
-        rows, table = cls._frequencies(docs, text)
-        least = cls._least(table, most)
-        frequent = F.col("df") >= least if least else F.lit(False)
-        found = table.where(frequent).toPandas()
-        weights = cls(found["word"].to_numpy(np.int64).view(np.uint64), cls._weigh(found["df"].to_numpy(np.float64), rows), float(cls._weigh(np.float64(min(rows, 1)), rows)))
-        weights.rows = rows
-        return weights, table.where(~frequent)
-
-    def joined(self, rare: pa.Array) -> WordWeights:
-        """Also with the weights of the rarer words in ``rare``, lists of (word, df)."""
-        flat = rare.flatten()
-        if not len(flat):
-            return self
-        word, df = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        word, at = np.unique(word.astype(np.int64), return_index=True)
-        out = copy.copy(self)
-        out.rare = WordWeights(word.view(np.uint64), self._weigh(df[at].astype(np.float64), self.rows), self.other)
-        return out
+    def _slots(self) -> np.ndarray:
+        """By the first bits of a hash where its word stands, or -1 (none), or -2 (several)."""
+        if "slots" not in self.__dict__:
+            at = (self.hashes >> np.uint64(64 - self._SLOT_BITS)).astype(np.int64)
+            self.slots = np.full(1 << self._SLOT_BITS, -1, np.int32)
+            self.slots[at] = np.arange(len(at))
+            self.slots[at[1:][at[1:] == at[:-1]]] = -2
+        return self.slots
 
     def of_words(self, hashes: np.ndarray) -> np.ndarray:
-        other = self.rare.of_words(hashes) if self.rare else np.full(len(hashes), self.other)
+        out = np.full(len(hashes), self.other)
         if not len(self.hashes):
-            return other
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.weights[at], other)
+            return out
+        at = self._slots()[(hashes >> np.uint64(64 - self._SLOT_BITS)).astype(np.int64)]
+        several = np.flatnonzero(at == -2)
+        at[several] = np.minimum(np.searchsorted(self.hashes, hashes[several]), len(self.hashes) - 1)
+        known = np.flatnonzero(at >= 0)
+        known = known[self.hashes[at[known]] == hashes[known]]
+        out[known] = self.weights[at[known]]
+        return out
 
     def shingles(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, hash and weight of each distinct shingle of each text, by row."""
-        codes, offsets, _, hashes = plain_words(column)
-        found, at, row = shingles(hashes[codes], offsets)
-        weight = np.concatenate([[0.0], np.cumsum(self.of_words(hashes)[codes])])
+        words, offsets, _ = word_hashes(column)
+        found, at, row = shingles(words, offsets)
+        weight = np.concatenate([[0.0], np.cumsum(self.of_words(words))])
         end = np.minimum(at + SHINGLE_WORDS, offsets[row + 1])
-        mean = (weight[end] - weight[at]) / np.maximum(end - at, 1)
+        # To a multiple of 2 ** -20, so that a shingle weighs the same wherever it stands.
+        mean = np.round((weight[end] - weight[at]) / np.maximum(end - at, 1) * (1 << 20)) / (1 << 20)
         # Distinct by row: the row is mixed in, so that one sort of 64-bit integers does.
-        order = np.argsort(mixed(found + mixed(row.astype(np.uint64))))
+        order = np.argsort(found ^ mixed(row.astype(np.uint64)))
         found, row, mean = found[order], row[order], mean[order]
         new = np.ones(len(found), bool)
         new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
@@ -301,38 +290,17 @@ class WordWeights:
         return row[first][by_row], found[first][by_row], (mean[first] * count)[by_row]
 
 
-def rare_words(docs: DataFrame, weights: WordWeights, table: DataFrame) -> DataFrame:
-    """key (of a text, by hash) and rare: the (word, df) of ``table`` that the text holds, for texts that hold any.
-
-    Texts of one key share a row, which then holds too much for each; that changes no word's weight.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((weights.hashes, Bitmap.of(table.select("word"))))
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, some = shared.value
-        for batch in steps(batches):
-            codes, offsets, vocabulary, hashes = plain_words(texts(batch))
-            asked = some.has(hashes.view(np.int64)) & ~np.isin(hashes, frequent)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[asked[codes]]
-            pairs = np.unique(row * max(len(vocabulary), 1) + codes[asked[codes]])
-            keys = batch.column(0).to_numpy()[pairs // max(len(vocabulary), 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hashes.view(np.int64)[pairs % max(len(vocabulary), 1)])], ["key", "word"])
-
-    asked = docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(held, "key bigint, word bigint").distinct()
-    return written(asked.join(table, "word").groupBy("key").agg(F.collect_list(F.struct("word", "df")).alias("rare")), "rare")
-
-
-def with_rare(docs: DataFrame, rare: DataFrame) -> DataFrame:
-    """``docs`` with the column ``rare`` of ``rare_words``, null for texts that have none."""
-    return docs.withColumn("key", F.xxhash64("text")).join(rare, "key", "left").select(*docs.columns, "rare")
-
-
 def weighted_jaccard(weights: WordWeights, a: pa.Array, b: pa.Array) -> np.ndarray:
     """The weighted Jaccard similarity of the shingles of each text of ``a`` and the text of ``b`` beside it; 0 without shingles."""
     n = len(a)
-    row, found, weight = weights.shingles(pa.concat_arrays([a, b]))
-    pair = row % n
-    order = np.lexsort((found, pair))
+    both_columns = pa.concat_arrays([a, b]).dictionary_encode()  # a text that stands in many pairs is taken apart once
+    of = both_columns.indices.to_numpy().astype(np.int64)
+    row, found, weight = weights.shingles(both_columns.dictionary)
+    edges = np.searchsorted(row, np.arange(len(both_columns.dictionary) + 1))
+    at = gather(edges[of], np.diff(edges)[of])
+    pair = np.repeat(np.arange(2 * n) % n, np.diff(edges)[of])
+    found, weight = found[at], weight[at]
+    order = np.argsort(found ^ mixed(pair.astype(np.uint64)))
     pair, found, weight = pair[order], found[order], weight[order]
     same = np.flatnonzero((pair[1:] == pair[:-1]) & (found[1:] == found[:-1]))
     both = np.bincount(pair[same], np.minimum(weight[same], weight[same + 1]), n)

@@ -6,11 +6,14 @@ model is the few slots that are not: at most ``2 ** bits`` pairs, which is the b
 
 The model is fitted by one task on at most ``most`` labelled documents (those with the least hash of their id); the rest of
 the work, scoring, is one pass over whole texts without a shuffle. Null and empty texts have no feature, so their score is
-the base rate's. A document that several label rows call differently counts as toxic. Without labels all scores are 0.
+the base rate's. A document that several label rows call differently counts as toxic. Without labels all scores are 0. Rows
+of one id each have their own score; very long texts are scored whole, and ties of the hash of ids go to the smaller id.
+Other columns stay as they are but for one named as the score, which is replaced. No rows give no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import mixed, plain_words, steps, texts, word_hash
+from .shared import mixed, steps, texts, word_hashes
 
 BITS = 20
 #: Documents that the model is fitted on, at most.
@@ -33,16 +36,13 @@ _NEXT = np.uint64(0x9E3779B97F4A7C15)
 
 def slots(column: pa.Array, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each kind of feature the slots of all rows, and the row of each (repeats stay)."""
-    codes, offsets, vocabulary, hashes = plain_words(column)
+    one, offsets, stems = word_hashes(column, STEMS)
     row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     slot = lambda x: (mixed(x) >> np.uint64(64 - bits)).astype(np.int32)
-    one = hashes[codes]
     yield slot(one), row
-    for n in STEMS:
-        long = np.fromiter((len(w) > n for w in vocabulary), bool, len(vocabulary))
-        stem = np.fromiter((word_hash(f"{w[:n]}-") if len(w) > n else 0 for w in vocabulary), np.uint64, len(vocabulary))
-        kept = np.flatnonzero(long[codes])
-        yield slot(stem[codes[kept]]), row[kept]
+    for stem in stems:
+        kept = np.flatnonzero(stem)
+        yield slot(stem[kept]), row[kept]
     same = row[:-1] == row[1:]
     two = one[:-1] * _NEXT + one[1:]
     yield slot(two[same]), row[:-1][same]
@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST, bits: int = BIT
         for batch in steps(batches, "text"):
             pairs = np.unique(np.concatenate([(row.astype(np.int64) << bits) | at for at, row in slots(texts(batch), bits)]))
             cuts = np.searchsorted(pairs >> bits, np.arange(1, batch.num_rows))
-            packed = [x.astype("<u4").tobytes() for x in np.split(pairs & ((1 << bits) - 1), cuts)]
+            packed = [zlib.compress(np.diff(x, prepend=0).astype("<u4").tobytes(), 1) for x in np.split(pairs & ((1 << bits) - 1), cuts)]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), *(batch.column(k) for k in (1, 2, 3))], ["slots", "toxic", "_order", "doc_id"])
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST, bits: int = BIT
         size = np.array([1 << bits])
         for _ in range(passes if rows else 0):
             for packed, label in rows:
-                model.learn(np.concatenate([np.frombuffer(packed, "<u4").astype(np.int64), size]), int(label > 0))
+                model.learn(np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(packed), "<u4"), dtype=np.int64), size]), int(label > 0))
         at = np.flatnonzero(model.z)
         w = model.weights(at)
         yield pa.RecordBatch.from_arrays([pa.array(at[w != 0]), pa.array(w[w != 0])], ["slot", "weight"])
@@ -119,7 +119,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, bits: int =
         weights = np.zeros((1 << bits) + 1)
         weights[at] = w
         carried = weights != 0
-        for batch in steps(batches, text, 16 << 20):
+        for batch in steps(batches, text):
             pairs = []
             for found, row in slots(texts(batch, text), bits):
                 kept = np.flatnonzero(carried[found])
