@@ -1,22 +1,31 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three transducers are compiled from a model: the normaliser (a space before the text, spaces as U+2581), the pieces (a trie
-whose paths spell a piece and write its id), and byte fallback (a character without a piece writes its UTF-8 bytes' ids).
-An input is composed with them into an acyclic lattice, and its encoding is the shortest path in the
-tropical semiring (weights add along a path, the least path wins). Bytes are arcs of characters without a piece alone, so
-they need no weight of their own.
+Three transducers are compiled from a model, as arrays of arcs:
+
+* the normaliser: one state, arcs that copy a character, or turn a space into U+2581; a space is written before the text;
+* the pieces: a trie whose arcs read a character; the arc that completes a piece returns to the start, writes its id and weighs 1;
+* byte fallback: a character without a piece is one arc that writes the ids of its UTF-8 bytes and weighs 1.
 
 The model at hand merges pairs (BPE), which no sum of piece weights alone reproduces. But a sequence of pieces is what BPE
-makes of its text if and only if BPE leaves each two neighbours as they are; so the states of the piece transducer remember
-the last piece, an arc weighs 1, or is infinite if BPE would not leave its piece beside the last. Those weights are found as arcs
-are first met, by undoing the two pieces' merges, and kept. A prefix has one such sequence, so at most one state of each
-position has a finite weight and a search that tries long arcs first finds the shortest path in about as many steps as it has arcs. The shortest path is then the library's encoding, which tests compare id by id.
+makes of its text if and only if BPE leaves each two neighbours as they are. So the pieces' transducer has a start state for
+each last piece, from which the arcs of a piece that BPE would not leave beside it weigh infinity. These arcs are not
+written out but weighed as the composition meets them (``_apart``): the merges of the two pieces are undone, the latest
+first, and the weight is infinite if the parts that then stand side by side would have been merged before.
+
+Inputs are linear automata. Those of a whole batch are composed with the transducers at once, position by position, which
+is a topological order of the composed lattice: from each state that has been reached with a finite weight the trie's arcs
+are followed, and a completed piece relaxes the state after it in the tropical semiring (weights add along a path, the least
+path wins). As BPE has one result for each prefix, at most one state of a position has a finite weight. The path is read
+backwards from the end. Its ids are the library's, which tests compare id by id.
 
 No piece holds a space after another character (checked when compiled), so all paths pass through the state before each
-run of spaces. An input is cut there, and the parts' shortest paths are kept for repeated parts. Long parts are also cut
-between characters that stand side by side in no piece.
+run of spaces. An input is cut there, and within a batch repeated parts are composed once. Decoding inverts the transducers:
+each id writes its piece or byte.
 
 Null and empty texts have no ids. U+2581 is encoded as a space, as the library does; all else decodes to the text itself.
+Repeated rows each have their ids; very long texts are encoded whole, in parts. Paths have no ties: one is finite. Other columns
+stay as they are but for one named as the new one, which is replaced. Models that aren't BPE, or whose normaliser has a
+character map, removes extra spaces or doesn't escape spaces, or with pieces of characters that are none, raise an error.
 """
 
 from __future__ import annotations
@@ -32,14 +41,48 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .shared import gather, steps, texts
+from .shared import gather, mixed, steps, texts
 
 SPACE = "▁"
-#: Parts whose shortest paths, and pairs whose weights a worker keeps; of twice as many the older half is dropped unless used.
-KEPT, KEPT_PAIRS = 150_000, 300_000
-#: Characters of the longest part that is kept whole.
-LONG = 48
-_INFINITE = float("inf")
+_INFINITE = np.float64(np.inf)
+#: States of the composition in place of a last piece: at the start, and after a character that fell back to bytes.
+_START, _BYTES = -1, -2
+
+
+class Arcs:
+    """From 64-bit keys to numbers, looked up for whole arrays: a hash table with linear probing. Absent keys give -1."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.mask = (1 << self.bits) - 1
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.keys[at[put]], self.values[at[put]] = keys[left[put]], values[left[put]]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, at = left[rest], (at[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mixed(keys.astype(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], np.int32(-1))
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & self.mask
+            found = self.keys[at]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (found >= 0)
+            left, at = left[on], at[on]
+        return out
 
 
 class PieceTransducer:
@@ -60,37 +103,51 @@ class PieceTransducer:
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece spans a space")
-        # The trie of the pieces: for each state (a prefix) whether it goes on.
-        self.states = {p[:n] for p in self.ids for n in range(1, len(p))}
-        self.joined = {(a, b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
-        # Of each piece: the merge that makes it (None: a character) if BPE makes it at all, the rank of that, the next shorter arc.
-        order = {p: -self.scores[p] for p in self.ids}
-        self.rank = {p: r for p, r in order.items() if len(p) > 1}
-        self.made: dict[str, tuple[str, str] | None] = {}
-        self.shorter: dict[str, str] = {}
-        for p in self.ids:
-            parts, made = self._last_merge(p)
-            if parts == [p]:
-                self.made[p] = made
-            if len(p) > 1:
-                self.shorter[p] = next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), p[0])
-        # Pieces in whose making a merge of a higher or a shared rank comes first: their merges' order isn't their ranks'.
-        shared = {r for r, n in Counter(self.rank.values()).items() if n > 1}
-        self.uneven = {p for p, r in self.rank.items() if r in shared}
-        for p in sorted((p for p, made in self.made.items() if made), key=len):
-            if any(x in self.uneven or self.rank.get(x, -_INFINITE) > self.rank[p] for x in self.made[p]):
-                self.uneven.add(p)
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.paths: dict[str, tuple[int, ...]] = {}
-        self.old_paths: dict[str, tuple[int, ...]] = {}
-        self.old_pairs: dict[tuple[str, str], bool] = {}
+        if any(c not in self.ids for p in self.ids for c in p):
+            raise ValueError("a piece has a character that is no piece")
+        self.pieces = list(self.ids)  # the numbers of pieces in here; ids go out
+        number = {p: i for i, p in enumerate(self.pieces)}
+        self.id_of = np.fromiter(self.ids.values(), np.int32, len(self.pieces))
+        self._compile_trie(number)
+        self._compile_merges(number)
         # What each id decodes to, as bytes.
         self.spelled = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else b"" if p.type in (kinds.CONTROL, kinds.UNUSED) else p.piece.replace(SPACE, " ").encode() for p in model.pieces]
         self.spelled[self.unknown] = " ⁇ ".encode()
 
-    def _merged(self, text: str) -> list[str]:
-        """What BPE makes of a short text; only to weigh arcs."""
-        return self._last_merge(text)[0]
+    def _compile_trie(self, number: dict[str, int]) -> None:
+        """Arcs (state, character) -> state, and the piece that a state completes (-1: none)."""
+        states = {p: i for i, p in enumerate(sorted({p[:n] for p in number for n in range(len(p) + 1)}))}
+        characters = {c: i for i, c in enumerate(sorted({c for p in number for c in p}), 1)}
+        self.width = len(characters) + 1
+        self.character = np.zeros(0x110000, np.int64)  # by code point; 0 has no arc
+        for c, i in characters.items():
+            self.character[ord(c)] = i
+        self.root = states[""]
+        self.trie = Arcs(np.array([states[s[:-1]] * self.width + characters[s[-1]] for s in states if s]), np.array([i for s, i in states.items() if s]))
+        self.final = np.full(len(states), -1, np.int64)
+        for p, i in number.items():
+            self.final[states[p]] = i
+
+    def _compile_merges(self, number: dict[str, int]) -> None:
+        """Of each piece the rank of the merge that makes it and the two parts; ranks of all pairs of pieces that make a piece."""
+        n = len(self.pieces)
+        order = np.array([-self.scores[p] for p in self.pieces], np.float64)
+        self.rank = np.where([len(p) > 1 for p in self.pieces], order, _INFINITE)
+        self.left, self.right, self.made = np.full(n, -1), np.full(n, -1), np.zeros(n, bool)
+        for i, p in enumerate(self.pieces):
+            parts, last = self._last_merge(p)
+            self.made[i] = parts == [p]
+            if self.made[i] and last:
+                self.left[i], self.right[i] = number[last[0]], number[last[1]]
+        # Pieces in whose making a merge of a higher or a shared rank comes first: their merges' order isn't their ranks'.
+        shared = {r for r, k in Counter(self.rank[np.isfinite(self.rank)].tolist()).items() if k > 1}
+        self.uneven = np.array([r in shared for r in self.rank.tolist()], bool)
+        for i in sorted(np.flatnonzero(self.left >= 0).tolist(), key=lambda i: len(self.pieces[i])):
+            for x in (self.left[i], self.right[i]):
+                self.uneven[i] |= self.uneven[x] or (self.left[x] >= 0 and self.rank[x] > self.rank[i])
+        pairs = [(number[p[:k]] * n + number[p[k:]], i) for p, i in number.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
+        self.joined = Arcs(*(np.array(x, np.int64) for x in zip(*pairs, strict=True)))
+        self.odd: dict[tuple[int, int], bool] = {}
 
     def _last_merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """What BPE makes of a short text, and the two parts it merges last."""
@@ -107,111 +164,107 @@ class PieceTransducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts, last
 
-    def _joins(self, last: str, piece: str) -> bool:
-        """Whether the arc of ``piece`` after ``last`` (empty: at the start) has a finite weight.
-
-        The merges that made the two are undone, the latest first; the weight is infinite if the parts that then stand side
-        by side would have been merged before.
-        """
-        if len(self.pairs) >= KEPT_PAIRS:
-            self.old_pairs, self.pairs = self.pairs, {}
-        ok = self.old_pairs.get((last, piece))
-        if ok is None:
-            ok = self._apart(last, piece)
-        self.pairs[last, piece] = ok
+    def _odd_pair(self, a: int, b: int) -> bool:
+        """Of pieces whose merges' order isn't their ranks'; these are few, and runs of one character."""
+        if (a, b) not in self.odd:
+            if len(self.odd) >= 1 << 16:
+                self.odd.clear()
+            one, two = self.pieces[a], self.pieces[b]
+            self.odd[a, b] = self._last_merge(one + two)[0] == [one, two]
+        return self.odd[a, b]
+
+    def _apart(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether the arc of each ``piece`` from the state of its ``last`` has a finite weight."""
+        ok = self.made[piece].copy()
+        left = np.flatnonzero(ok & (last >= 0))
+        odd = self.uneven[last[left]] | self.uneven[piece[left]]
+        for i in left[odd].tolist():
+            ok[i] = self._odd_pair(int(last[i]), int(piece[i]))
+        left = left[~odd]
+        a, b, limit = last[left], piece[left], np.full(len(left), _INFINITE)
+        n = len(self.pieces)
+        while len(left):
+            joint = self.joined(a * n + b)
+            merged = np.where(joint >= 0, self.rank[joint], _INFINITE) < limit
+            ok[left[merged]] = False
+            undo_a, undo_b = self.left[a] >= 0, self.left[b] >= 0
+            undo_a &= ~undo_b | (self.rank[a] > self.rank[b])
+            # What lies further left goes first among merges of one rank.
+            limit = np.where(undo_a, self.rank[a], self.rank[b] + 0.5)
+            a, b = np.where(undo_a, self.right[a], a), np.where(undo_a, b, np.where(undo_b, self.left[b], b))
+            on = ~merged & (undo_a | undo_b)
+            left, a, b, limit = left[on], a[on], b[on], limit[on]
         return ok
 
-    def _apart(self, a: str, b: str) -> bool:
-        rank, made = self.rank, self.made
-        if b not in made or (a and a not in made):
-            return False
-        if not a:
-            return True
-        if a in self.uneven or b in self.uneven:
-            return self._merged(a + b) == [a, b]
-        limit = _INFINITE
-        while True:
-            if rank.get(a + b, _INFINITE) < limit:
-                return False
-            left, right = made[a], made[b]
-            if left and (not right or rank[a] > rank[b]):
-                limit, a = rank[a], left[1]
-            elif right:
-                # What lies further left goes first among merges of one rank.
-                limit, b = rank[b] + 0.5, right[0]
-            else:
-                return True
+    def paths(self, points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the shortest paths through the lattices of normalised inputs (code points, one input after the other), and how many each has."""
+        order = np.argsort(-lengths, kind="stable")  # the longest first, so those that go on are the first ones
+        starts = (np.cumsum(lengths) - lengths)[order]
+        length = lengths[order]
+        node = starts + order  # each input has a state for each position and one for its end
+        character = self.character[points]
+        nodes = len(points) + len(lengths)
+        weight, last, before = np.full(nodes, _INFINITE), np.full(nodes, _START, np.int64), np.zeros(nodes, np.int32)
+        weight[node] = 0
+        for at in range(int(length[0]) if len(length) else 0):
+            some = np.flatnonzero(np.isfinite(weight[node[: np.searchsorted(-length, -at)] + at]))
+            state, read = np.full(len(some), self.root), 0
+            while len(some):
+                read += 1
+                c = character[starts[some] + at + read - 1]
+                if read == 1 and not c.all():
+                    self._relax(weight, last, before, node[some[c == 0]] + at, 1, np.full(int((c == 0).sum()), _BYTES))
+                state = self.trie(state * self.width + c)
+                on = state >= 0
+                some, state = some[on], state[on].astype(np.int64)
+                piece = self.final[state]
+                ends = np.flatnonzero(piece >= 0)
+                source = node[some[ends]] + at
+                apart = self._apart(last[source], piece[ends])
+                self._relax(weight, last, before, source[apart], read, piece[ends][apart])
+                on = at + read < length[some]
+                some, state = some[on], state[on]
+        return self._written(points, starts, length, order, node, last, before)
+
+    @staticmethod
+    def _relax(weight: np.ndarray, last: np.ndarray, before: np.ndarray, source: np.ndarray, read: int, piece: np.ndarray) -> None:
+        """Arcs from ``source`` that read as many characters and weigh 1; no two of them end in one state."""
+        less = weight[source] + 1 < weight[source + read]
+        to = source[less] + read
+        weight[to], last[to], before[to] = weight[source[less]] + 1, piece[less], read
+
+    def _written(self, points: np.ndarray, starts: np.ndarray, length: np.ndarray, order: np.ndarray, node: np.ndarray, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids along the paths that end in the inputs' last states."""
+        left, at = np.flatnonzero(length > 0), length[length > 0]
+        owner, position, piece = [], [], []
+        while len(left):
+            end = node[left] + at
+            at = at - before[end]
+            owner.append(order[left])
+            position.append(starts[left] + at)
+            piece.append(last[end])
+            left, at = left[at > 0], at[at > 0]
+        owner, position, piece = (np.concatenate(x[::-1]) if x else np.zeros(0, np.int64) for x in (owner, position, piece))
+        by = np.argsort(position, kind="stable")  # inputs lie one after the other
+        owner, position, piece = owner[by], position[by], piece[by]
+        ids = np.where(piece >= 0, self.id_of[np.maximum(piece, 0)], np.int32(0))
+        count = np.ones(len(ids), np.int64)
+        raw = np.flatnonzero(piece == _BYTES)
+        if len(raw):  # each in place of its first byte, then spread out
+            fallen, of = np.unique(points[position[raw]], return_inverse=True)
+            spelled = [self._fallback(chr(p)) for p in fallen.tolist()]
+            size = np.array([len(s) for s in spelled])
+            count[raw] = size[of]
+            flat = np.array([i for s in spelled for i in s], np.int32)
+            to = np.cumsum(count) - count
+            ids = np.repeat(ids, count)
+            ids[gather(to[raw], size[of])] = flat[gather((np.cumsum(size) - size)[of], size[of])]
+        return ids.astype(np.int32), np.bincount(owner, count, len(length)).astype(np.int64)
 
     def _fallback(self, character: str) -> list[int]:
         own = [self.bytes.get(b) for b in character.encode("utf-8", "surrogatepass")]
         return [self.unknown] if None in own else own
 
-    def _longest(self, part: str, at: int) -> str:
-        """The longest piece that starts there, or else the character, which falls back to bytes."""
-        ids, states = self.ids, self.states
-        j, n = at + 1, len(part)
-        text = best = part[at]
-        while j < n and text in states:
-            j += 1
-            text = part[at:j]
-            if text in ids:
-                best = text
-        return best
-
-    def path(self, part: str) -> list[int]:
-        """The ids of the shortest path through the lattice of ``part``, a normalised text.
-
-        BPE has one result for each prefix, so at most one state of a position has a finite weight: the first path that reaches
-        a position is its shortest, and the search tries the longest arcs first. A position from which none went on is dead.
-        """
-        n, ids, shorter, pairs = len(part), self.ids, self.shorter, self.pairs
-        out, dead, i, last = [], set(), 0, ""
-        piece = self._longest(part, 0)
-        while True:
-            while piece:
-                if i + len(piece) not in dead:
-                    ok = pairs.get((last, piece))
-                    if ok is None:
-                        ok = self._joins(last, piece) if piece in ids and (last in ids or not last) else True
-                        pairs = self.pairs
-                    if ok:
-                        break
-                piece = shorter.get(piece)
-            if piece:
-                out.append(piece)
-                i += len(piece)
-                if i == n:
-                    break
-                last, piece = piece, self._longest(part, i)
-            else:
-                dead.add(i)
-                piece = out.pop()
-                i -= len(piece)
-                last = out[-1] if out else ""
-                piece = shorter.get(piece)
-        return [x for piece in out for x in ([ids[piece]] if piece in ids else self._fallback(piece))]
-
-    def _part(self, part: str) -> tuple[int, ...]:
-        """The same, kept for repeated parts; a long one is cut where no piece joins two characters, as all paths pass there."""
-        found = self.paths.get(part)
-        if found is None:
-            found = self.old_paths.get(part)
-            if found is None:
-                found = tuple(self.path(part) if len(part) <= LONG else self._cut(part))
-            if len(part) <= LONG:
-                if len(self.paths) >= KEPT:
-                    self.old_paths, self.paths = self.paths, {}
-                self.paths[part] = found
-        return found
-
-    def _cut(self, part: str) -> list[int]:
-        joined, at, out = self.joined, 0, []
-        for i, two in enumerate(zip(part, part[1:], strict=False), 1):
-            if two not in joined:
-                out += self.path(part[at:i])
-                at = i
-        return out + self.path(part[at:])
-
     @staticmethod
     def parts(text: str) -> list[str]:
         """A normalised text, cut before each run of spaces."""
@@ -226,52 +279,47 @@ class PieceTransducer:
                 spaces = 0
         return [*out, SPACE * spaces] if spaces else out
 
-    def normalised(self, text: str) -> str:
-        return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
-
     def encode(self, text: str) -> list[int]:
-        return [i for part in self.parts(self.normalised(text)) for i in self._part(part)]
+        return self.encode_all(pa.array([text], pa.large_string()))[0].tolist()
 
     def encode_all(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts and how many each has; each distinct part is looked up once."""
+        """Ids of all texts and how many each has; each distinct part is composed once."""
         column = pc.replace_substring(column, SPACE, " ")
         split = pc.split_pattern(column, " ")
         flat = split.flatten().dictionary_encode()
         codes, offsets = flat.indices.to_numpy().astype(np.int64), split.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
-        vocabulary = flat.dictionary.to_pylist()
-        parts = [SPACE + v for v in vocabulary]
+        vocabulary = flat.dictionary
+        parts = pc.binary_join_element_wise(*(x if x is vocabulary else pa.scalar(x, pa.large_string()) for x in (SPACE, vocabulary, "")))
         lead = SPACE if self.prefix else ""
+        empty = pc.index(vocabulary, pa.scalar("", pa.large_string())).as_py()
         odd = np.zeros(len(column), bool)  # rows with runs of spaces, spaces at an end, or without the space before the text
-        if "" in vocabulary or not self.prefix:
-            empty = np.zeros(len(codes), bool) if "" not in vocabulary else codes == vocabulary.index("")
-            odd = np.bincount(np.repeat(np.arange(len(column)), np.diff(offsets))[empty], minlength=len(column)) > 0 if self.prefix else ~odd
+        if empty >= 0 or not self.prefix:
+            odd = np.bincount(np.repeat(np.arange(len(column)), np.diff(offsets))[codes == empty], minlength=len(column)) > 0 if self.prefix else ~odd
         if odd.any():
-            index = {p: i for i, p in enumerate(parts)}
+            index: dict[str, int] = {}
             pieces = []
             for i in range(len(column)):
                 if odd[i]:
                     text = column[i].as_py()
                     own = self.parts(lead + text.replace(" ", SPACE)) if text else []
-                    for p in own:
-                        if p not in index:
-                            index[p] = len(parts)
-                            parts.append(p)
-                    pieces.append(np.array([index[p] for p in own], np.int64))
+                    pieces.append(np.array([index.setdefault(p, len(parts) + len(index)) for p in own], np.int64))
                 else:
                     pieces.append(codes[offsets[i] : offsets[i + 1]])
             codes = np.concatenate(pieces)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-        found = [self._part(p) for p in parts]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat_ids = np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum()))
+            parts = pa.concat_arrays([parts, pa.array(list(index), pa.large_string())])
+        used = np.flatnonzero(np.bincount(codes, minlength=len(parts)))
+        at = np.zeros(len(parts), np.int64)
+        at[used] = np.arange(len(used))
+        parts, codes = parts.take(pa.array(used)), at[codes]
+        ids, lengths = self.paths(np.frombuffer("".join(parts.to_pylist()).encode("utf-32-le"), "<u4"), pc.utf8_length(parts).to_numpy().astype(np.int64))
         starts = np.cumsum(lengths) - lengths
         ends = np.concatenate([[0], np.cumsum(lengths[codes])])
-        return flat_ids[gather(starts[codes], lengths[codes])], np.diff(ends[offsets])
+        return ids[gather(starts[codes], lengths[codes])], np.diff(ends[offsets])
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(self.spelled[i] for i in ids).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
     def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         lengths = np.fromiter(map(len, self.spelled), np.int64, len(self.spelled))
@@ -285,7 +333,7 @@ class PieceTransducer:
 
 @cache
 def compiled(path: str) -> PieceTransducer:
-    """The transducers of a model: a Python worker compiles them once, and its tasks share what they have found."""
+    """The transducers of a model: a Python worker compiles them once."""
     return PieceTransducer(path)
 
 
@@ -295,7 +343,7 @@ def encoded(docs: DataFrame, model: str, *, text: str = "text", ids: str = "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model)
-        for batch in steps(batches, text, 6 << 20):
+        for batch in steps(batches, text):
             found, count = transducer.encode_all(texts(batch, text))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(found, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids])
@@ -326,7 +374,7 @@ def piece_report(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model)
-        for batch in steps(batches, "text", 6 << 20):
+        for batch in steps(batches, "text"):
             column = texts(batch)
             found, count = transducer.encode_all(column)
             ends = np.concatenate([[0], np.cumsum(count)])
