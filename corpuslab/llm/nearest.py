@@ -1,16 +1,20 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
 Each vector, less the mean, is normalised and rotated by a random orthogonal map into ``bits`` dimensions (more than it
-has, for closer estimates); its code is the signs, packed. With the norm and one correction scalar (the inner product of the
-rotated vector and its code) the code estimates the inner product with a query without bias, and bounds its error: of a
-squared distance each code gives a lower and an upper bound. A vector is reranked by its exact distance, in double precision,
-if its lower bound is not above the ``k``-th smallest exact distance or upper bound that its partition has met. A partition
-passes on ``k`` rows for each query, and the least of those are the result.
-
-The code table (vec_id, code, norm, correction, and the vector to rerank by) is the index, written once. Queries go out in blocks of about ``BLOCK``, each read and broadcast by itself, so neither the driver
-nor a broadcast holds more than a block. Vectors that are null, empty, zero, or hold a null or non-finite component take no
-part. Vectors are compared with those of the same length. Rows with the query's id are the query's own and are no
-candidates; other rows of equal ids each count. With fewer than ``k`` candidates all are returned.
+has, for closer estimates); its code is the signs, packed into 64-bit words. A query is rotated alike and rounded to
+``PLANES`` bits a dimension, kept as as many packed planes, so the inner product of code and query is a sum of population
+counts of code AND plane. With the norm and one correction scalar (the inner product of the rotated vector and its code) it
+estimates the inner product with the query without bias, and bounds its error: each code gives a lower and an upper bound of
+the squared distance. Vectors whose lower bound is not above the ``k``-th smallest upper bound of their query are reranked: only
+they are fetched, and the ``k`` least by exact distance, in double precision, are the result.
+
+The code table (vec_id, code, norm, correction) is the index of all vectors, written once; it holds no vector. Queries go out
+in blocks of about ``BLOCK``, each read and broadcast by itself, so neither the driver nor a broadcast holds more than a block.
+
+Vectors that are null, empty, zero, or hold a null or non-finite component take no part, and neither do null ids. Vectors are
+compared with those of the same length. Rows with the query's id are the query's own and are no candidates; if they have
+several vectors, the least (component by component) asks. Other rows of equal ids each count. Of equal distances the smaller
+vec_id comes first. With fewer than ``k`` candidates all are returned. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ from .shared import shared_folder, written
 
 #: Code bits for each dimension, and standard errors within which an estimate is taken to be.
 BITS_PER_DIMENSION, ERRORS = 4, 2.5
+PLANES = 4
 BLOCK = 2048
-_STEP = 4096
+_STEP = 1024
 
 
 def usable(vector: Column) -> Column:
@@ -62,7 +67,7 @@ def centres(vectors: DataFrame) -> dict[int, np.ndarray]:
 
 
 def code_table(vectors: DataFrame, centre: dict[int, np.ndarray]) -> DataFrame:
-    """vec_id, length of the vector, packed signs, norm, correction and the vector itself of each row."""
+    """vec_id, length of the vector, packed signs, norm and correction of each row."""
     shared = vectors.sparkSession.sparkContext.broadcast(centre)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,77 +82,87 @@ def code_table(vectors: DataFrame, centre: dict[int, np.ndarray]) -> DataFrame:
                 turned = (x / np.maximum(norm, 1e-300)[:, None]) @ turn.T
                 fit = np.abs(turned).sum(1) / np.sqrt(turn.shape[0])
                 packed = np.packbits(turned > 0, axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(pa.array(rows)), pa.array(np.full(len(rows), d, np.int32)), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(norm), pa.array(np.where(norm > 0, fit, 1.0)),
-                        batch.column(1).take(pa.array(rows)).cast(pa.list_(pa.float64())),
-                    ],
-                    ["vec_id", "d", "code", "norm", "fit", "embedding"],
-                )
+                columns = [pa.array(np.full(len(rows), d, np.int32)), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(norm), pa.array(np.where(norm > 0, fit, 1.0))]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), *columns], ["vec_id", "d", "code", "norm", "fit"])
 
-    return vectors.mapInArrow(coded, "vec_id bigint, d int, code binary, norm double, fit double, embedding array<double>")
+    return vectors.mapInArrow(coded, "vec_id bigint, d int, code binary, norm double, fit double")
 
 
 class Queries:
-    """A block of queries of one length, rotated."""
+    """A block of queries of one length: rotated, rounded, and packed by planes of bits."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, centre: np.ndarray):
-        self.ids, self.x = ids, x
-        turn = rotation(x.shape[1])
-        self.turned = ((x - centre) @ turn.T).astype(np.float32)
-        self.squares = ((x - centre) ** 2).sum(1)
+        self.ids = ids
+        turned = (x - centre) @ rotation(x.shape[1]).T
+        self.low = turned.min(1)
+        self.step = np.maximum(turned.max(1) - self.low, 1e-300) / ((1 << PLANES) - 1)
+        level = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.uint8)
+        self.planes = [np.packbits(level >> p & 1, axis=1).view(np.uint64) for p in range(PLANES)]
+        self.sum = self.low * turned.shape[1] + self.step * level.sum(1, dtype=np.int64)
+        self.squares, self.bits = ((x - centre) ** 2).sum(1), turned.shape[1]
 
     def bounds(self, code: np.ndarray, norm: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of the squared distances of the codes (rows) from the queries (columns)."""
-        bits = self.turned.shape[1]
-        signs = np.unpackbits(code, axis=1).astype(np.float32)
-        inner = (2 * (signs @ self.turned.T) - self.turned.sum(1)) / np.sqrt(bits) / fit[:, None]
-        error = np.sqrt(np.maximum(1 - fit**2, 0) / fit**2 / (bits - 1))[:, None] * np.sqrt(self.squares) * ERRORS
+        """Lower and upper bounds of the squared distances of the codes (rows of 64-bit words) from the queries (columns)."""
+        ones = np.bitwise_count(code).sum(1, dtype=np.int32)
+        counted = np.zeros((len(code), len(self.ids)), np.int32)
+        for p, plane in enumerate(self.planes):
+            for w in range(code.shape[1]):
+                counted += np.bitwise_count(code[:, w, None] & plane[:, w]).astype(np.int32) << p
+        # The inner product of the query, as rounded, with the signs: twice that with the bits less the sum of all.
+        inner = (2 * (self.low * ones[:, None] + self.step * counted) - self.sum) / np.sqrt(self.bits) / fit[:, None]
+        off = np.sqrt(np.maximum(1 - fit**2, 0) / fit**2 / (self.bits - 1))[:, None] * np.sqrt(self.squares)
+        error = ERRORS * np.sqrt(off**2 + (self.step**2 / 12) / fit[:, None] ** 2)
         middle = (norm**2)[:, None] + self.squares
         return middle - 2 * norm[:, None] * (inner + error), middle - 2 * norm[:, None] * (inner - error) + 1e-12
 
 
-def _search(codes: DataFrame, centre: dict[int, np.ndarray], queries: DataFrame, k: int) -> DataFrame:
-    rows = queries.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).toPandas().drop_duplicates("vec_id")
+def _search(codes: DataFrame, vectors: DataFrame, centre: dict[int, np.ndarray], queries: DataFrame, k: int) -> DataFrame:
+    rows = queries.toPandas()
     by = rows.groupby(rows["embedding"].map(len))
     block = {int(d): Queries(part["vec_id"].to_numpy(np.int64), np.stack(part["embedding"].to_numpy()), centre[int(d)]) for d, part in by}
     shared = codes.sparkSession.sparkContext.broadcast(block)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {d: (np.full((k, len(q.ids)), np.inf), np.full((k, len(q.ids)), np.iinfo(np.int64).max)) for d, q in shared.value.items()}
+        # The k least upper bounds of each query so far, and what passed the greatest of them when it was met.
+        least = {d: np.full((k, len(q.ids)), np.inf) for d, q in shared.value.items()}
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {d: [] for d in shared.value}
+
+        def thinned(d: int) -> tuple[np.ndarray, ...]:
+            of, vec, low, high = (np.concatenate(x) for x in zip(*held[d], strict=True))
+            kept = low <= least[d][-1][of]
+            return of[kept], vec[kept], low[kept], high[kept]
+
         for batch in batches:
             ids, length = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy()
             norm, fit = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            offsets, values = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy(zero_copy_only=False)
             for d, q in shared.value.items():
                 rows = np.flatnonzero(length == d)
-                rows = rows[np.argsort(ids[rows], kind="stable")]
                 for i in range(0, len(rows), _STEP):
                     part = rows[i : i + _STEP]
-                    code = np.frombuffer(b"".join(batch.column(2).take(pa.array(part)).to_pylist()), np.uint8).reshape(len(part), -1)
+                    code = np.frombuffer(b"".join(batch.column(2).take(pa.array(part)).to_pylist()), np.uint64).reshape(len(part), -1)
                     low, high = q.bounds(code, norm[part], fit[part])
                     own = ids[part][:, None] == q.ids
                     low[own] = high[own] = np.inf
-                    # The k-th exact distance so far, or the k-th upper bound here, whichever is less.
-                    least = best[d][0][-1] ** 2
-                    if len(part) >= k:
-                        least = np.minimum(least, np.partition(high, k - 1, axis=0)[k - 1])
-                    at, of = np.nonzero((low <= least * (1 + 1e-9)) & ~own)
-                    x = values[offsets[part[at]][:, None] + np.arange(d)].astype(np.float64)
-                    exact = np.full(low.shape, np.inf)
-                    exact[at, of] = np.sqrt(((q.x[of] - x) ** 2).sum(1))
-                    first = np.argsort(exact, axis=0, kind="stable")[:k]  # rows are by id, so ties go to the smaller
-                    score = np.concatenate([best[d][0], np.take_along_axis(exact, first, 0)])
-                    vec = np.concatenate([best[d][1], np.where(np.isfinite(score[k:]), ids[part][first], np.iinfo(np.int64).max)])
-                    order = np.lexsort((vec, score), axis=0)[:k]
-                    best[d] = np.take_along_axis(score, order, 0), np.take_along_axis(vec, order, 0)
+                    least[d] = np.sort(np.concatenate([least[d], high]), axis=0)[:k]
+                    at, of = np.nonzero((low <= least[d][-1]) & ~own)
+                    held[d].append((of, ids[part][at], low[at, of], high[at, of]))
+                    if sum(len(h[0]) for h in held[d]) > 1 << 20:
+                        held[d] = [thinned(d)]
         for d, q in shared.value.items():
-            at, of = np.nonzero(np.isfinite(best[d][0]))
-            yield pa.RecordBatch.from_arrays([pa.array(q.ids[of]), pa.array(best[d][1][at, of]), pa.array(best[d][0][at, of])], ["query_id", "vec_id", "score"])
-
-    # k rows at most for each query and partition go on.
-    found = codes.mapInArrow(search, "query_id bigint, vec_id bigint, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+            if held[d]:
+                of, vec, low, high = thinned(d)
+                yield pa.RecordBatch.from_arrays([pa.array(q.ids[of]), pa.array(vec), pa.array(low), pa.array(high)], ["query_id", "vec_id", "low", "high"])
+
+    found = written(codes.mapInArrow(search, "query_id bigint, vec_id bigint, low double, high double"), "candidates")
+    by_high = Window.partitionBy("query_id").orderBy("high", "vec_id")
+    worst = found.withColumn("n", F.row_number().over(by_high)).where(F.col("n") <= k).groupBy("query_id").agg(F.max("high").alias("worst"), F.max("n").alias("n"))
+    # With fewer than k all stay.
+    pairs = found.join(worst, "query_id").where((F.col("low") <= F.col("worst")) | (F.col("n") < k)).select("query_id", "vec_id").distinct()
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    exact = pairs.join(vectors, "vec_id").join(asked, "query_id").where(F.size("asked") == F.size("embedding"))
+    square = F.zip_with("asked", "embedding", lambda a, b: (a - b.cast("double")) * (a - b.cast("double")))
+    exact = exact.select("query_id", "vec_id", F.sqrt(F.aggregate(square, F.lit(0.0), lambda t, x: t + x)).alias("score"))
+    ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -157,11 +172,11 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10) -> DataFrame:
     vectors = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     centre = centres(vectors)
     codes = written(code_table(vectors, centre), "codes")
-    queries = vectors.where(is_query)
+    queries = vectors.where(is_query).groupBy("vec_id").agg(F.min(F.col("embedding").cast("array<double>")).alias("embedding"))
     blocks = -(-queries.count() // BLOCK)
     if blocks <= 1:
-        return _search(codes, centre, queries, k)
+        return _search(codes, vectors, centre, queries, k)
     path = shared_folder(spark, "neighbours")
     for i in range(blocks):
-        _search(codes, centre, queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i), k).write.mode("append").parquet(path)
+        _search(codes, vectors, centre, queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i), k).write.mode("append").parquet(path)
     return spark.read.parquet(path)
