@@ -2,15 +2,19 @@
 
 A window is ``WINDOW`` consecutive words; its minimiser is the run of ``MINIMISER`` words in it whose hash is least.
 Consecutive windows with one minimiser are a super-k-mer. Equal windows have equal minimisers, so only super-k-mers whose
-minimiser occurs in two documents or more can hold a repeated window; which those are is kept as a bitmap of fixed size by
-hash (a collision sends too much, never too little). Each such super-k-mer travels once, its words packed as one string, to
-the bucket of its minimiser. A bucket's task sorts the super-k-mers, takes one minimiser after the other, compares windows
-as word sequences and reports the least document of each. Minimisers of very many super-k-mers are spread over buckets by a
-hash of each window instead, once for each document that has it, and counted there in the same way: equal windows still
-meet, and a task holds of a spread bucket only the first of each word sequence, however many documents have it.
+minimiser occurs in two documents or more can hold a repeated window. Which those are is counted by minimiser, and a bitmap
+sized by their number tells it to all tasks (a collision sends too much, never too little). Each such super-k-mer travels
+once, as one packed string, to the bucket of its minimiser. A bucket's task sorts the super-k-mers, takes one minimiser after
+the other, compares windows as word sequences and reports the least document of each.
+
+Minimisers of very many super-k-mers would make hot buckets. Their windows travel one by one, each word sequence once a row:
+the least document of each sequence is aggregated before the shuffle, and what a smaller document has is joined back. From
+how many super-k-mers on this is done is ``SPREAD``, or more if over ``SPREAD_MOST`` minimisers had as many.
 
 Ids that repeat are one document: its windows don't remove its own words. Null ids take no part in the comparison and
-keep all words; null or empty texts have no words. Nothing is removed from texts of fewer than ``WINDOW`` words.
+keep all words; null or empty texts have no words. Nothing is removed from texts of fewer than ``WINDOW`` words; very long
+ones are compared whole. Of documents with equal windows the least id keeps them, so there are no ties. Columns other than
+doc_id and text don't matter, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -20,15 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_words, gather, mixed, rolling, steps, texts, word_hash, written
+from .shared import Bitmap, ascii_words, gather, rolling, shared_folder, steps, texts, word_hash, written
+from .words import ExactWords
 
 WINDOW, MINIMISER = 50, 10
-#: Bits of the two bitmaps, the bits of one slice of them, and super-k-mers of one minimiser from which it is spread.
-MAP_BITS, SLICE_BITS, SPREAD = 27, 16, 512
+#: Super-k-mers of one minimiser from which it is spread, and minimisers that are spread at most.
+SPREAD, SPREAD_MOST = 512, 1 << 22
 _STEP = 8 << 20
 
 
@@ -43,20 +47,17 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Windows:
-    """The super-k-mers of a batch: row, first window and number of windows of each, by position in ``codes``."""
+    """The super-k-mers of a batch: row, first window and number of windows of each, by position in ``words``."""
 
     def __init__(self, column: pa.Array, window: int, m: int):
-        words = ascii_words(column)
-        self.codes, self.offsets, self.vocabulary = words.codes, words.offsets, words.vocabulary
-        self.window = window
-        hashes = np.fromiter(map(word_hash, words.vocabulary), np.uint64, len(words.vocabulary))[words.codes]
-        length = np.diff(words.offsets)
-        row = np.repeat(np.arange(len(length)), length)
+        self.words, self.window = ExactWords(column), window
+        hashes, offsets = self.words.hashes, self.words.offsets
+        row = np.repeat(np.arange(len(column)), np.diff(offsets))
         if len(hashes) < window:
             self.minimiser, self.start, self.count, self.row = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
             return
         least = _least(rolling(hashes, m), window - m + 1)
-        inside = words.offsets[1:][row[: len(least)]] - np.arange(len(least)) >= window
+        inside = offsets[1:][row[: len(least)]] - np.arange(len(least)) >= window
         new = inside.copy()
         new[1:] &= ~inside[:-1] | (row[1 : len(least)] != row[: len(least) - 1]) | (least[1:] != least[:-1])
         self.start = np.flatnonzero(new)
@@ -66,40 +67,29 @@ class Windows:
         self.minimiser, self.count, self.row = least[self.start], after - self.start, row[self.start]
 
 
-def _slot(minimiser: np.ndarray) -> np.ndarray:
-    return (mixed(minimiser) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-
-
-def minimiser_maps(docs: DataFrame, window: int, m: int, spread: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of the minimisers that two documents or more have, and of those to spread: 2 * 2 ** MAP_BITS / 8 bytes in all."""
+def minimiser_maps(docs: DataFrame, window: int, m: int, spread: int, spread_most: int, bits: int) -> tuple[Bitmap, Bitmap]:
+    """The minimisers that two documents or more have, and of those the ones to spread; 2 ** ``bits`` bits each at most."""
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", _STEP):
             found = Windows(texts(batch), window, m)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found.row)), pa.array(_slot(found.minimiser))], ["doc_id", "slot"])
-
-    def bitmaps(key: tuple, table: pa.Table) -> pa.Table:
-        bits = np.zeros((2, 1 << SLICE_BITS), bool)
-        at = table["slot"].to_numpy() & ((1 << SLICE_BITS) - 1)
-        bits[0, at], bits[1, at[table["spread"].to_numpy(zero_copy_only=False)]] = True, True
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "shared": pa.array([np.packbits(bits[0]).tobytes()]), "spread": pa.array([np.packbits(bits[1]).tobytes()])})
-
-    seen = docs.mapInArrow(occurrences, "doc_id bigint, slot bigint").groupBy("slot").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
-    shared = seen.where("a < b").select("slot", (F.col("n") > spread).alias("spread"), F.shiftright("slot", SLICE_BITS).alias("slice"))
-    slices = shared.groupBy("slice").applyInArrow(bitmaps, "slice bigint, shared binary, spread binary")
-    size = 1 << (SLICE_BITS - 3)
-    both = np.zeros((2, 1 << (MAP_BITS - 3)), np.uint8)
-    for r in slices.toLocalIterator():
-        for k in range(2):
-            both[k, r[0] * size : (r[0] + 1) * size] = np.frombuffer(r[k + 1], np.uint8)
-    return both[0], both[1]
-
+            if not len(found.row):
+                continue
+            doc = batch.column(0).to_numpy()[found.row]
+            order = np.lexsort((doc, found.minimiser))
+            minimiser, doc = found.minimiser[order], doc[order]
+            first = np.flatnonzero(np.append(True, minimiser[1:] != minimiser[:-1]))
+            last = np.append(first[1:], len(doc)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(minimiser[first].view(np.int64)), pa.array(doc[first]), pa.array(doc[last]), pa.array(last - first + 1)], ["minimiser", "a", "b", "n"])
 
-def _has(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+    seen = docs.mapInArrow(occurrences, "minimiser bigint, a bigint, b bigint, n bigint").groupBy("minimiser").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"))
+    seen = written(seen.where("a < b").select("minimiser", "n"), "minimisers")
+    while seen.where(F.col("n") > spread).count() > spread_most:
+        spread *= 4
+    return Bitmap.of(seen.select("minimiser"), 16, bits), Bitmap.of(seen.where(F.col("n") > spread).select("minimiser"), 16, bits)
 
 
-def _bucketed(docs: DataFrame, maps: tuple[np.ndarray, np.ndarray], window: int, m: int) -> DataFrame:
+def _sent(docs: DataFrame, maps: tuple[Bitmap, Bitmap], window: int, m: int) -> DataFrame:
     """The super-k-mers that can hold a repeated window: bucket, doc_id, where they start, packed words, and whether spread.
 
     A spread one is a single window, sent once for a row of the input with all its starts there.
@@ -110,42 +100,37 @@ def _bucketed(docs: DataFrame, maps: tuple[np.ndarray, np.ndarray], window: int,
         shared, spread = shared_maps.value
         for batch in steps(batches, "text", _STEP):
             found = Windows(texts(batch), window, m)
+            words, ids = found.words, batch.column(0).to_numpy()
             if not len(found.start):
                 continue
-            slot = _slot(found.minimiser)
-            hot = _has(spread, slot)
-            kept = np.flatnonzero(_has(shared, slot) & ~hot)
-            bucket, start, count, row = found.minimiser[kept], found.start[kept], found.count[kept], found.row[kept]
-            starts, times, alone = start - found.offsets[row], np.ones(len(kept), np.int64), np.zeros(len(kept), bool)
-            if hot.any():  # each window by itself, to a bucket of its own hash
-                hot = np.flatnonzero(hot)
-                at, of = gather(found.start[hot], found.count[hot]), np.repeat(found.row[hot], found.count[hot])
-                hashes = np.fromiter(map(word_hash, found.vocabulary), np.uint64, len(found.vocabulary))[found.codes]
-                key = rolling(hashes, window)[at]
-                order = np.lexsort((at, key, of))
-                at, of, key = at[order], of[order], key[order]
-                new = np.ones(len(at), bool)
-                new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
-                for k in range(window):  # windows of one hash must have the same words to be sent as one
-                    new[1:] |= found.codes[at[1:] + k] != found.codes[at[:-1] + k]
-                first = np.flatnonzero(new)
-                bucket, start, row = np.concatenate([bucket, key[first]]), np.concatenate([start, at[first]]), np.concatenate([row, of[first]])
-                starts, times = np.concatenate([starts, at - found.offsets[of]]), np.concatenate([times, np.diff(np.append(first, len(at)))])
-                count, alone = np.concatenate([count, np.ones(len(first), np.int64)]), np.concatenate([alone, np.ones(len(first), bool)])
-            vocabulary = pa.array(found.vocabulary, pa.string())
-            ends = np.concatenate([[0], np.cumsum(times)])
-            for i in range(0, len(start), 20_000):
-                part = slice(i, i + 20_000)
-                length = count[part] + window - 1
-                words = vocabulary.take(pa.array(found.codes[gather(start[part], length)]))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), words)
-                own = ends[i : i + 20_001]
-                places = pa.ListArray.from_arrays(pa.array(own - own[0], pa.int32()), pa.array(starts[own[0] : own[-1]], pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[part].astype(np.int64)), batch.column(0).take(pa.array(row[part])), places, pc.binary_join(lists, " "), pa.array(alone[part])], ["bucket", "doc_id", "starts", "words", "alone"])
+            hot = spread.has(found.minimiser)
+            kept = np.flatnonzero(shared.has(found.minimiser) & ~hot)
+            for part in (kept[i : i + 20_000] for i in range(0, len(kept), 20_000)):
+                start, row = found.start[part], found.row[part]
+                own = [words.text(a, n) for a, n in zip(start.tolist(), (found.count[part] + window - 1).tolist(), strict=True)]
+                places = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1), pa.int32()), pa.array(start - words.offsets[row], pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(found.minimiser[part].view(np.int64)), pa.array(ids[row]), places, pa.array(own, pa.binary()).cast(pa.string()), pa.array(np.zeros(len(part), bool))], _NAMES)
+            hot = np.flatnonzero(hot)
+            if not len(hot):
+                continue
+            at, of = gather(found.start[hot], found.count[hot]), np.repeat(found.row[hot], found.count[hot])
+            key = rolling(words.hashes, window)[at]
+            by: dict[tuple[int, int, bytes], list[int]] = {}
+            for p, r, h in zip(at.tolist(), of.tolist(), key.view(np.int64).tolist(), strict=True):
+                by.setdefault((r, h, b" ".join(words.text(p, window).split())), []).append(p - int(words.offsets[r]))
+            groups = list(by)
+            for i in range(0, len(groups), 20_000):
+                part = groups[i : i + 20_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([h for _, h, _ in part]), pa.array(ids[[r for r, _, _ in part]]), pa.array([by[g] for g in part], pa.list_(pa.int32())), pa.array([w for _, _, w in part], pa.binary()).cast(pa.string()), pa.array(np.ones(len(part), bool))], _NAMES
+                )
 
     return docs.mapInArrow(packed, "bucket bigint, doc_id bigint, starts array<int>, words string, alone boolean")
 
 
+_NAMES = ["bucket", "doc_id", "starts", "words", "alone"]
+
+
 def _ranges(doc: np.ndarray, start: np.ndarray, window: int) -> pa.RecordBatch:
     """Windows at ``start`` of ``doc`` as ranges of words, adjoining and overlapping ones as one."""
     order = np.lexsort((start, doc))
@@ -193,47 +178,39 @@ def _repeated(super_kmers: pa.Table, window: int) -> pa.RecordBatch:
     return _ranges(np.repeat(doc, times), places[gather(places_at[of], times)] + np.repeat(start, times), window)
 
 
-def _firsts(rows: pa.Table) -> pa.Table:
-    """Of a bucket's windows, by document, the first of each word sequence, without its starts."""
-    seen: dict[str, int] = {}
-    for i, w in enumerate(rows["words"].to_pylist()):
-        seen.setdefault(w, i)
-    kept = rows.take(pa.array(list(seen.values())))
-    none = pa.array([[]] * kept.num_rows, pa.list_(pa.int32()))
-    return kept.set_column(2, "starts", none)
-
-
-def repeated_ranges(docs: DataFrame, *, window: int = WINDOW, m: int = MINIMISER, spread: int = SPREAD, step: int = _STEP) -> DataFrame:
+def repeated_ranges(docs: DataFrame, *, window: int = WINDOW, m: int = MINIMISER, spread: int = SPREAD, spread_most: int = SPREAD_MOST, step: int = _STEP, bits: int = 28) -> DataFrame:
     """doc_id, start, end (exclusive) of word ranges covered by windows that a document of smaller id has too; they may overlap."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    super_kmers = _bucketed(docs, minimiser_maps(docs, window, m, spread), window, m)
+    path = shared_folder(docs.sparkSession, "windows")
+    _sent(docs, minimiser_maps(docs, window, m, spread, spread_most, bits), window, m).write.option("compression", "zstd").partitionBy("alone").parquet(path)
+    sent = docs.sparkSession.read.schema("bucket bigint, doc_id bigint, starts array<int>, words string, alone boolean").parquet(path)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, size = ["bucket", "doc_id", "starts", "words", "alone"], [], 0
+        held, size = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(pa.Table.from_batches([pa.RecordBatch.from_arrays(batch.columns, names)]))
+            held.append(pa.Table.from_batches([pa.RecordBatch.from_arrays(batch.columns, _NAMES[:4])]))
             size += batch.nbytes
             if size < step:
                 continue
-            # Whole buckets go; of the last, which may go on, the rows stay, or if it is spread only its first windows.
+            # Whole buckets go; of the last, which may go on, the rows stay.
             rows = pa.concat_tables(held).combine_chunks()
             bucket = rows["bucket"].to_numpy()
             cut = len(bucket) - int(np.argmax(bucket[::-1] != bucket[-1])) if bucket[0] != bucket[-1] else 0
-            if rows["alone"][-1].as_py():
-                yield _repeated(rows, window)
-                held = [_firsts(rows.slice(cut))]
-            else:
-                if cut:
-                    yield _repeated(rows.slice(0, cut), window)
-                held = [rows.slice(cut)]
-            size = held[0].nbytes if cut or rows["alone"][-1].as_py() else 0
+            if cut:
+                yield _repeated(rows.slice(0, cut), window)
+            held = [rows.slice(cut)]
+            size = held[0].nbytes if cut else 0
         if held:
             yield _repeated(pa.concat_tables(held), window)
 
-    by_bucket = super_kmers.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
-    return by_bucket.mapInArrow(counted, "doc_id bigint, start int, end int")
+    by_bucket = sent.where("NOT alone").drop("alone").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    ranges = by_bucket.mapInArrow(counted, "doc_id bigint, start int, end int")
+    alone = sent.where("alone").drop("alone")
+    first = alone.groupBy("bucket", "words").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b")
+    lost = alone.join(first, ["bucket", "words"]).where("doc_id > a").select("doc_id", F.explode("starts").alias("start"))
+    return ranges.union(lost.select("doc_id", "start", F.col("start") + window))
 
 
 def with_ranges(docs: DataFrame, **options) -> DataFrame:
