@@ -8,7 +8,12 @@ each class of lengths (powers of two) Benjamini-Hochberg at ``fdr`` rejects what
 tests see more, so don't share a threshold with the many short ones. What is left, carries ``least_bits`` or more and
 doesn't overlap a pattern's span is reported as ``random``.
 
-Null text is empty. Repeated rows give repeated results. Texts without candidates cost one scan for each pattern.
+The procedure controls how often what is random is taken not to be, not how much of what is reported is no secret: shorter
+tokens give the tests little to go by. Tokens without a digit or a letter, and of fewer than 20 characters, are left to the patterns.
+
+Null text is empty. Spans of one start are ordered by kind, those of ``random`` never overlap others. Repeated rows give
+repeated results; very long texts are scanned whole, and texts without candidates cost one scan for each pattern. Other
+columns stay as they are, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import fresh, written
 
 ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A match takes its whole run, so the least length can stand in these two patterns. In ASSIGN it can't: a short match uses up text.
@@ -33,6 +38,7 @@ ENCODINGS = (
     ("^[A-Za-z0-9]+$", _UPPER + _UPPER.lower() + _DIGITS),
     ("^[A-Za-z0-9+/]+$", _UPPER + _UPPER.lower() + _DIGITS + "+/"),
     ("^[A-Za-z0-9_-]+$", _UPPER + _UPPER.lower() + _DIGITS + "-_"),
+    ("^[A-Za-z0-9+/_-]+$", _UPPER + _UPPER.lower() + _DIGITS + "+/-_"),  # of both kinds, as a token behind a path
 )
 BINS = 10_000
 
@@ -164,19 +170,21 @@ def _random(base: Column, candidates: Column, cuts: Column, least_bits: float) -
     return _spans(kept, "random")
 
 
-def find_secrets(docs: DataFrame, *, text: str = "text", keep_text: bool = True, fdr: float = 0.05, least_bits: float = 80.0) -> DataFrame:
+def find_secrets(docs: DataFrame, *, text: str = "text", keep_text: bool = True, fdr: float = 0.05, least_bits: float = 80.0, base: str = "base", spans: str = "spans") -> DataFrame:
     """``docs`` with columns ``base`` and ``spans``: arrays of (start, kind, end) by start and kind, kinds counted as in KINDS.
 
-    All columns of ``docs`` stay, the text only with ``keep_text`` (a column named like a new one is replaced). The
+    All columns of ``docs`` stay, the text only with ``keep_text``; columns named ``base`` or ``spans`` are replaced. The
     thresholds come from all rows, so what the patterns find is written once and read twice.
     """
-    docs = docs.drop("base", "spans", "_candidates", "_cuts")
-    found = with_matches(docs, text, "base", "_candidates")
+    docs = docs.drop(base, spans)
+    tested = fresh([*docs.columns, base, spans], "tested")
+    cut = fresh([*docs.columns, base, spans, tested], "cuts")
+    found = with_matches(docs, text, base, tested)
     found = written(found if keep_text else found.drop(text), "matches")
-    cuts = thresholds(found.select("_candidates"), fdr)
-    spans = F.array_sort(F.concat(F.col("base"), _random(F.col("base"), F.col("_candidates"), F.col("_cuts"), least_bits)))
+    cuts = thresholds(found.select(tested), fdr).withColumnRenamed("cuts", cut)
+    every = F.array_sort(F.concat(F.col(base), _random(F.col(base), F.col(tested), F.col(cut), least_bits)))
     # One row with as many entries as there are classes of lengths.
-    return found.crossJoin(F.broadcast(cuts.withColumnRenamed("cuts", "_cuts"))).withColumn("spans", spans).drop("_candidates", "_cuts")
+    return found.crossJoin(F.broadcast(cuts)).withColumn(spans, every).drop(tested, cut)
 
 
 def span_text(spans: Column) -> Column:
@@ -194,11 +202,12 @@ def secret_report(docs: DataFrame, **options) -> DataFrame:
 
 def redact(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with each span of :func:`find_secrets` (overlapping ones as one) replaced by ``mark``; null stays null."""
-    found = find_secrets(docs, text=text, **options)
+    base, spans = (fresh(docs.columns, c) for c in ("secret_base", "secret_spans"))
+    found = find_secrets(docs, text=text, base=base, spans=spans, **options)
 
     def add(a: Column, s: Column) -> Column:
         new = s["start"] >= a["at"]
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(new, F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"))
 
-    cleaned = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(text))))
-    return found.withColumn(text, F.when(F.size("spans") > 0, cleaned).otherwise(F.col(text))).select(*docs.columns)
+    cleaned = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(text))))
+    return found.withColumn(text, F.when(F.size(spans) > 0, cleaned).otherwise(F.col(text))).select(*docs.columns)

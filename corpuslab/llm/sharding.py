@@ -5,15 +5,18 @@ as small shards that never change. Compaction groups shards into tiers by size (
 and merges runs of ``fan_in`` or more of one tier into files of about the target size; a run is read and written without
 a shuffle. Each change writes a new manifest under a temporary name and renames it to the next version: the rename fails
 if that version exists, so of two writers one starts again from the other's version, and a reader sees one version whole.
+Such a rename is atomic in HDFS and local file systems; an object store has to offer it (or a put that can't overwrite).
 Shards are listed, sized and named by the driver; rows stay on the executors.
 
-Rows, columns and types are kept as they arrive, nulls and repeated rows too. An empty arrival adds no shard and an empty
-dataset reads as no rows with the schema in its manifest.
+Rows, columns and types are kept as they arrive, nulls, very long texts, ties and repeated rows too, whatever the columns'
+names: none is added unless asked for. An empty arrival adds no shard and an empty dataset reads as no rows with the schema
+in its manifest.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections import defaultdict
 from dataclasses import asdict, dataclass, replace
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import shared_folder
+from .shared import fresh, shared_folder
 
 #: Runs that one job merges side by side.
 RUNS_A_JOB = 64
@@ -47,6 +50,10 @@ class Conflict(Exception):
     """Another writer made that version."""
 
 
+def _typed(schema: StructType) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in schema]
+
+
 class ShardedDataset:
     def __init__(self, spark: SparkSession, path: str, *, target_bytes: int = 128 << 20, fan_in: int = 4):
         self.spark, self.path, self.target, self.fan_in = spark, path.rstrip("/"), target_bytes, fan_in
@@ -106,8 +113,8 @@ class ShardedDataset:
             shards = []
         while True:
             old = self.manifest()
-            if old.schema is not None and StructType.fromJson(json.loads(old.schema)).names != df.schema.names:
-                raise ValueError("an arrival must have the dataset's columns")
+            if old.schema is not None and _typed(StructType.fromJson(json.loads(old.schema))) != _typed(df.schema):
+                raise ValueError("an arrival must have the dataset's columns and types")
             new = replace(old, version=old.version + 1, schema=old.schema or df.schema.json(), shards=old.shards + tuple(shards))
             try:
                 self.commit(new)
@@ -166,27 +173,39 @@ class ShardedDataset:
                 except Conflict:
                     continue
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version (else the last), with its shard in the column ``shard``."""
+    def read(self, version: int | None = None, *, shard: str | None = None) -> DataFrame:
+        """The rows of a version (else the last), with the file that each is in as column ``shard`` if that is given a name."""
         found = self.manifest(version)
         if found.schema is None:
             raise ValueError("the dataset has no version yet")
         schema = StructType.fromJson(json.loads(found.schema))
+        if shard and fresh(schema.names, shard) != shard:
+            raise ValueError(f"the dataset has a column {shard}")
         if not found.shards:
-            return self.spark.createDataFrame([], schema).withColumn("shard", F.lit(None).cast("string"))
-        return self.spark.read.schema(schema).parquet(*[s.path for s in found.shards]).withColumn("shard", F.col("_metadata.file_name"))
+            rows = self.spark.createDataFrame([], schema)
+            return rows.withColumn(shard, F.lit(None).cast("string")) if shard else rows
+        rows = self.spark.read.schema(schema).parquet(*[s.path for s in found.shards])
+        return rows.withColumn(shard, F.col("_metadata.file_name")) if shard else rows
+
+    def vacuum(self, keep: int = 1, *, unnamed_hours: float = 24.0) -> int:
+        """Deletes the manifests before the last ``keep`` versions and the shards that only those name; how many.
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes the manifests before the last ``keep`` versions, and shards that none of those left names; how many."""
+        Shards that no manifest names may be another writer's, about to be committed: they go when they are older than
+        ``unnamed_hours``, which must be longer than any write takes.
+        """
         last = self.manifest()
-        kept = [self.manifest(v) for v in range(max(1, last.version - keep + 1), last.version + 1)]
-        live = {s.path for m in kept for s in m.shards}
-        for v in range(1, last.version - keep + 1):
-            self._fs.delete(self._hadoop(f"{self.path}/_manifest/{v:012}.json"), False)
-        dead = [p for folder, _ in self._list(f"{self.path}/data") for p, _ in self._list(folder) if p.endswith(".parquet") and p not in live]
-        for p in dead:
+        old = [v for v in range(1, last.version - keep + 1) if self._fs.exists(self._hadoop(f"{self.path}/_manifest/{v:012}.json"))]
+        live = {s.path for v in range(max(1, last.version - keep + 1), last.version + 1) for s in self.manifest(v).shards}
+        expired = {s.path for v in old for s in self.manifest(v).shards} - live
+        before = (time.time() - 3600 * unnamed_hours) * 1000
+        for folder in self._fs.listStatus(self._hadoop(f"{self.path}/data")) if self._fs.exists(self._hadoop(f"{self.path}/data")) else ():
+            if folder.getModificationTime() < before:
+                expired |= {p for p, _ in self._list(folder.getPath().toString()) if p.endswith(".parquet") and p not in live}
+        for p in expired:
             self._fs.delete(self._hadoop(p), False)
-        return len(dead)
+        for v in old:  # last, so that what is left over after a crash is found again
+            self._fs.delete(self._hadoop(f"{self.path}/_manifest/{v:012}.json"), False)
+        return len(expired)
 
 
 def shard(df: DataFrame, *, arrivals: int = 4, key: str = "doc_id", target_bytes: int = 128 << 20, fan_in: int = 4, path: str | None = None) -> ShardedDataset:

@@ -130,7 +130,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pos = encoder_of(tokenizer), 0
-        for batch in steps(batches, "text", 32 << 20):
+        for batch in steps(batches, "text", 8 << 20):
             ids, count = encoder.encode(texts(batch), end_id)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(pos, pos + len(count))), pa.array(count, pa.int32()), lists], ["doc_id", "pos", "n_tokens", "ids"])

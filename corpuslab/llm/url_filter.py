@@ -8,7 +8,8 @@ difference of the models' log-likelihoods divided by its length; the least score
 (balanced accuracy) a fifth of the ruled URLs that the models haven't seen.
 
 A null URL, and one without ``://``, has empty host and path, so no rule fits it. An empty URL scores 0. Repeated URLs count
-as often as they occur. If the rules allow or block nothing, there is no ratio, and what no rule decides is allowed.
+as often as they occur; very long ones are scored whole. Columns keep their values but for host, path, rule, verdict and ratio,
+which are replaced. Of thresholds that separate as well the middle one is taken. No rows give no rows. If the rules allow or block nothing, there is no ratio, and what no rule decides is allowed.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import steps, written
+from .shared import fresh, steps, written
 
 ORDER = 5
 #: Bits of a byte of an n-gram: 0 is before the start, others are 1 more. ORDER + 1 of them fit into 64 bits.
@@ -164,9 +165,11 @@ def judge(pages: DataFrame, *, url: str = "url", rules: tuple[tuple[str, str], .
     models = written(differences(tables), "models")
     scored = written(ratios(urls.where("NOT train"), models, hot), "ratios")
     least = least_ratio(scored.where("side IS NOT NULL"))
-    scored = scored.where("side IS NULL").select(F.col("url").alias("_url"), F.col("ratio").alias("_ratio"))
-    open_ = named.where("verdict IS NULL").withColumn("_url", F.coalesce(F.col(url), F.lit(""))).join(scored, "_url")
-    open_ = open_.withColumns({"ratio": F.col("_ratio"), "verdict": F.when(F.col("_ratio") >= least, "allow").otherwise("block")})
+    key = fresh(named.columns, "scored_url")
+    value = fresh([*named.columns, key], "scored_ratio")
+    scored = scored.where("side IS NULL").select(F.col("url").alias(key), F.col("ratio").alias(value))
+    open_ = named.where("verdict IS NULL").withColumn(key, F.coalesce(F.col(url), F.lit(""))).join(scored, key)
+    open_ = open_.withColumns({"ratio": F.col(value), "verdict": F.when(F.col(value) >= least, "allow").otherwise("block")})
     return named.where("verdict IS NOT NULL").unionByName(open_.select(*named.columns))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from corpuslab.llm import decontaminate, near_dedup, nearest, piece_transducer, secret_scan, sharding, shared, substring_dedup, token_output, toxicity, url_filter
 from corpuslab.llm.queries import QUERIES
+from corpuslab.llm.words import plain_word
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, ids string, label string, score string, base string, shard string, key string"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -109,21 +110,12 @@ def test_near_duplicates_chain(spark):
     assert {r.class_id for r in found.collect()} == {0}
 
 
-def test_components_by_tables(spark):
+def test_components_by_tables(spark, docs):
     rng = random.Random(3)
     edges = spark.createDataFrame([tuple(sorted(rng.sample(range(60), 2))) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)], "a bigint, b bigint")
-    assert rows_of(near_dedup.components(edges, here=0).select("id", "label")) == rows_of(near_dedup.components(edges).select("id", "label"))
-
-
-def test_sampling_estimates_similarity(spark):
-    weights = shared.WordWeights(np.zeros(0, np.uint64), np.zeros(0), 1.5)
-    words = prose(300, 4).split()
-    a, b = (pa.array([" ".join(x)], pa.large_string()) for x in (words, words[:260] + prose(40, 8).split()))
-    exact = shared.weighted_jaccard(weights, a, b)[0]
-    sampler = near_dedup.Sampler(2000)
-    row, shingle, weight = weights.shingles(pa.concat_arrays([a, b]))
-    drawn = sampler.signatures(row, shingle, weight, 2)
-    assert abs((drawn[0] == drawn[1]).mean() - exact) < 0.04
+    tables = near_dedup.Tables(edges, "test")
+    assert rows_of(near_dedup.components(edges, tables, here=0).select("id", "label")) == rows_of(near_dedup.components(edges, tables).select("id", "label"))
+    assert rows_of(near_dedup.near_duplicates(docs, here=0)) == rows_of(near_dedup.near_duplicates(docs))
 
 
 # 3
@@ -167,7 +159,7 @@ def test_leaks(spark, odd, empty, data, docs):
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
     weights = shared.WordWeights.of(bench)
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
-    plain = lambda t: [p for w in t.split() if (p := shared.plain_word(w))]
+    plain = lambda t: [p for w in t.split() if (p := plain_word(w))]
     brute = set()
     grams = {}
     for r in bench.collect():
@@ -188,11 +180,33 @@ def test_leaks(spark, odd, empty, data, docs):
 
 def test_hamming_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
-    known = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
-    asked = np.concatenate([known ^ np.uint64(0b1011), rng.integers(0, 1 << 63, 200, dtype=np.uint64)])
+    known = rng.integers(0, 1 << 63, (50, 3), dtype=np.uint64)
+    known[7] = known[3]
+    near = np.stack([known[rng.integers(50)] for _ in range(400)])
+    for i, x in enumerate(near):  # up to 60 bits away
+        for b in rng.choice(192, i % 60, replace=False):
+            x[b // 64] ^= np.uint64(1 << (b % 64))
+    asked = np.concatenate([near, rng.integers(0, 1 << 63, (2000, 3), dtype=np.uint64)])
     index = decontaminate.HammingIndex(known)
-    brute = {(a, b) for a in range(len(asked)) for b in range(50) if int(asked[a] ^ known[b]).bit_count() <= decontaminate.RADIUS}
-    assert set(zip(*(x.tolist() for x in index.within(asked)), strict=True)) == brute
+    brute = {(a, b) for a in range(len(asked)) for b in range(50) if np.bitwise_count(asked[a] ^ known[b]).sum() <= decontaminate.RADIUS}
+    assert len(brute) > 300 and set(zip(*(x.tolist() for x in index.within(asked)), strict=True)) == brute
+    assert len(index.candidates(asked[400:])[0]) < 0.2 * 2000 * 50  # of unlike fingerprints
+
+
+def test_leaks_in_blocks(spark, data, docs, monkeypatch):
+    """Blocks of items and runs of a document change nothing; other columns stay as they are, whatever their names."""
+    bench = spark.read.parquet(f"{data}/benchmark.parquet")
+    whole = rows_of(decontaminate.leaks(docs, bench))
+    assert whole and rows_of(decontaminate.leaks(docs, bench, item_bytes=4000)) == whole
+    monkeypatch.setattr(decontaminate, "REGION", 8)
+    rows = docs.select("text").collect()
+    known = lambda: decontaminate.Items([r.item_id for r in bench.collect()], pa.array([r.text for r in bench.collect()], pa.large_string()), shared.WordWeights.of(bench))
+    cut = known().leaks(pa.array([r.text or "" for r in rows], pa.large_string()), 0.8)
+    assert sorted((i, s) for _, i, s, _ in cut) == sorted((i, s) for _, i, s, _ in whole)
+    clash = docs.withColumns({"text_md5": F.lit("mine"), "TEXT_MD5_": F.lit("too"), "_text": F.lit("a"), "item_id": F.lit("b"), "start": F.lit(1), "similarity": F.lit("c")})
+    kept = decontaminate.without_leaks(clash, bench)
+    leaked = {r[0] for r in whole}
+    assert kept.columns == clash.columns and rows_of(kept) == rows_of(clash.where(~F.col("doc_id").isin(leaked)))
 
 
 # 5
@@ -223,6 +237,28 @@ def test_nearest(spark, data):
     assert len(got & wanted) >= 0.9 * len(wanted) and len(got) == len(wanted)
 
 
+def test_queries_of_one_id(spark):
+    """Of several vectors of a query's id the least asks; none of them is a candidate."""
+    rows = [(100, [5.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 0.5]), (1, [5.0, 0.5]), (2, [2.0, 0.0])]
+    for df in (spark.createDataFrame(r, "vec_id bigint, embedding array<float>") for r in (rows, rows[::-1])):
+        found = nearest.nearest(df, F.col("vec_id") % 100 == 0).collect()
+        assert [(r.rank, r.vec_id, round(r.score, 6)) for r in sorted(found, key=lambda r: r.rank)] == [(1, 1, 0.5), (2, 2, 1.0), (3, 1, round(16.25**0.5, 6))]
+
+
+def test_bounds_hold(spark):
+    """Estimates from packed bits alone lie about the exact distances, and nearly always between the bounds."""
+    rng = np.random.default_rng(8)
+    x, q = rng.normal(size=(500, 48)), rng.normal(size=(9, 48))
+    frame_ = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    centre = nearest.centres(frame_)
+    codes = nearest.code_table(frame_, centre).toPandas().sort_values("vec_id")
+    packed = np.stack([np.frombuffer(c, np.uint64) for c in codes["code"]])
+    low, high = nearest.Queries(np.arange(9), q, centre[48]).bounds(packed, codes["norm"].to_numpy(), codes["fit"].to_numpy())
+    exact = ((x[:, None] - q) ** 2).sum(2)
+    assert ((low <= exact) & (exact <= high)).mean() > 0.97 and abs(((low + high) / 2 / exact).mean() - 1) < 0.02
+    assert packed.shape == (500, 3) and (high - low).mean() < exact.mean()
+
+
 def test_nearest_in_blocks(spark, data, monkeypatch):
     df = spark.read.parquet(f"{data}/embeddings.parquet")
     whole = rows_of(nearest.nearest(df, F.col("vec_id") % 50 == 0))
@@ -235,7 +271,10 @@ def test_nearest_in_blocks(spark, data, monkeypatch):
 
 def test_shards(spark, odd, empty):
     done = sharding.shard(odd, arrivals=5, target_bytes=1 << 20, fan_in=2)
-    assert rows_of(done.read().drop("shard")) == rows_of(odd.drop("shard"))
+    assert done.read().columns == odd.columns and rows_of(done.read()) == rows_of(odd)
+    assert done.read(shard="file").where("file NOT LIKE 'part-%'").isEmpty()
+    with pytest.raises(ValueError, match="shard"):
+        done.read(shard="Shard")
     assert len(done.manifest().shards) < 5 and done.manifest().version > 5
     assert sharding.shard(empty, arrivals=2).read().count() == 0
 
@@ -251,8 +290,25 @@ def test_shard_versions(spark, tmp_path):
     one.compact()
     assert len(one.manifest().shards) == 1 and one.read(2).count() == 5
     assert one.vacuum() == 2 and sorted(r.id for r in two.read().collect()) == list(range(5))
-    with pytest.raises(ValueError, match="columns"):
-        one.append(spark.range(2).toDF("other"))
+    for other in (spark.range(2).toDF("other"), spark.range(2).selectExpr("cast(id AS string) AS id")):
+        with pytest.raises(ValueError, match="columns"):
+            one.append(other)
+
+
+def test_shards_of_another_writer_stay(spark, tmp_path):
+    """What one writer has written and not yet committed outlives another's vacuum; what it has left behind goes in time."""
+    one, two = (sharding.ShardedDataset(spark, f"file://{tmp_path}/d", fan_in=2) for _ in range(2))
+    one.append(spark.range(3).coalesce(1))
+    shards = two._write(spark.range(3, 5).coalesce(1), 0)
+    one.append(spark.range(5, 7).coalesce(1))
+    one.compact()
+    assert one.vacuum() == 2
+    now = two.manifest()
+    two.commit(sharding.replace(now, version=now.version + 1, shards=now.shards + tuple(shards)))
+    assert sorted(r.id for r in one.read().collect()) == list(range(7))
+    two._write(spark.range(9).coalesce(1), 0)
+    assert one.vacuum(unnamed_hours=24) == 0 and one.vacuum(unnamed_hours=-1) == 1
+    assert sorted(r.id for r in one.read().collect()) == list(range(7))
 
 
 # 7
@@ -354,6 +410,11 @@ def test_secrets(spark, odd, empty, docs):
     clean = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
     assert clean[104] == "[SECRET]" and clean[0] is None and clean[9] == TEXTS[9] and clean[102].startswith("é😀 [SECRET] AKIAshort")
     assert secret_scan.redact(df).columns == df.columns
+    # All columns keep their values, whatever their names.
+    clash = df.withColumns({c: F.lit(c) for c in ("base", "spans", "secret_base", "SECRET_spans", "tested", "cuts", "_cuts", "start", "kind")})
+    redacted = secret_scan.redact(clash)
+    assert redacted.columns == clash.columns and rows_of(redacted.drop("text")) == rows_of(clash.drop("text"))
+    assert rows_of(redacted.select("doc_id", "text")) == rows_of(secret_scan.redact(df).select("doc_id", "text"))
 
 
 def test_random_tokens_stay(spark):
@@ -385,15 +446,15 @@ def brute_repeats(rows, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("spread", "step"), [(512, 1 << 23), (3, 1 << 23), (3, 1), (512, 1)])
-def test_repeats(spark, odd, empty, docs, spread, step):
+@pytest.mark.parametrize("options", [{}, {"spread": 3}, {"spread": 3, "step": 1}, {"step": 1}, {"spread": 3, "bits": 16}, {"spread": 0, "spread_most": 9}])
+def test_repeats(spark, odd, empty, docs, options):
     passage = prose(70, 77)
     more = [(200 + i, f"{prose(i, 300 + i)} {passage} {prose(9, 400 + i)}") for i in range(12)] + [(300 + i, "a b " * 60) for i in range(4)]
     table = odd.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id bigint, text string"))
     for df in (table, docs.select("doc_id", "text")):
         rows = [tuple(r) for r in df.collect()]
-        assert rows_of(substring_dedup.repeat_report(df, spread=spread, step=step)) == brute_repeats(rows, 50)
-    assert substring_dedup.repeat_report(empty, spread=spread, step=step).collect() == []
+        assert rows_of(substring_dedup.repeat_report(df, **options)) == brute_repeats(rows, 50)
+    assert substring_dedup.repeat_report(empty, **options).collect() == []
 
 
 # The pipeline
