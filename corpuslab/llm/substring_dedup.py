@@ -85,7 +85,7 @@ def minimiser_maps(docs: DataFrame, window: int, m: int, spread: int, spread_mos
     seen = docs.mapInArrow(occurrences, "minimiser bigint, a bigint, b bigint, n bigint").groupBy("minimiser").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"))
     seen = written(seen.where("a < b").select("minimiser", "n"), "minimisers")
     while seen.where(F.col("n") > spread).count() > spread_most:
-        spread *= 4
+        spread = 4 * spread + 1
     return Bitmap.of(seen.select("minimiser"), 16, bits), Bitmap.of(seen.where(F.col("n") > spread).select("minimiser"), 16, bits)
 
 
