@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]"
-URL, TAG, EMAIL = r"https?://\S+", r"<[^>]{1,200}>", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+#: What counts as a link, a tag, an address.
+URL, TAG, EMAIL = r"(?i)https?://\S+", r"<[^>]{1,200}>", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
 def count(text: Column, pattern: str) -> Column:
@@ -69,18 +70,6 @@ def word_count(text: Column) -> Column:
     return count(text, r"\S+")
 
 
-def script_profile(text: Column) -> dict[str, Column]:
-    """Counts of characters that aren't white space, in classes of which each character is in the first that fits."""
-    cyrillic, latin, arabic, digit = r"\x{0400}-\x{052F}", "A-Za-z", r"\x{0600}-\x{06FF}\x{0750}-\x{077F}", r"\p{Nd}"
-    punct = count(text, r"[\p{P}\p{S}]")
-    known = [count(text, f"[{c}]") for c in (cyrillic, latin, arabic)]
-    digits = count(text, f"[{digit}]") - count(text, r"[\x{0660}-\x{0669}\x{06F0}-\x{06F9}]")
-    punct = punct - count(text, r"[\x{0600}-\x{06FF}]") + count(text, r"[\x{0610}-\x{061A}\x{0620}-\x{0669}\x{066E}-\x{06D3}\x{06D5}-\x{06DC}\x{06DF}-\x{06E8}\x{06EA}-\x{06FC}\x{06FF}\x{0600}-\x{0605}\x{06DD}]")
-    total = count(text, r"\S")
-    out = {"cyrillic": known[0], "latin": known[1], "arabic": known[2], "digit": digits, "punct": punct}
-    return out | {"total": total}
-
-
 def share(part: Column, whole: Column) -> Column:
     """``part`` of ``whole``, 0 of nothing."""
     return part / F.greatest(whole, F.lit(1))
@@ -111,6 +100,17 @@ def ngrams(items: Column, n: int, sep: str = " ") -> Column:
     return let(items, runs)
 
 
+def repeated_ngrams(text: Column, n: int) -> Column:
+    """Of the word ``n``-grams of a text: how many occur more than once (``repeated``), and how many there are (``total``). A text of fewer words has none."""
+
+    def counted(h: Column) -> Column:
+        twice = F.filter(h, lambda x, i: (x == F.get(h, i - 1)) | (x == F.get(h, i + 1)))
+        return F.struct(F.size(twice).alias("repeated"), F.size(h).alias("total"))
+
+    hashes = F.array_sort(F.transform(ngrams(words(text), n), lambda g: F.xxhash64(g)))
+    return let(hashes, counted)
+
+
 def char_ngrams(text: Column, n: int) -> Column:
     """Distinct runs of ``n`` characters; none of a shorter text."""
     return F.array_distinct(ngrams(F.filter(F.split(text, ""), lambda c: c != ""), n, ""))

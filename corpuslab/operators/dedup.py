@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.work import saved
 
 
 def keep_first(df: DataFrame, key: Column | str, order: list[str]) -> DataFrame:
@@ -16,7 +17,9 @@ def keep_first(df: DataFrame, key: Column | str, order: list[str]) -> DataFrame:
 
 
 def flag_duplicates(df: DataFrame, key: Column | str, order: list[str], flag: str = "duplicate") -> DataFrame:
-    first = keep_first(df, key, order).select(*order, F.lit(False).alias(flag))
+    """``df`` with a column that says whether a row isn't the first of its key; read twice, so ``df`` should be cheap."""
+    keyed = df.select(F.md5(F.col(key) if isinstance(key, str) else key).alias("_key"), *order)
+    first = keyed.groupBy("_key").agg(F.min(F.struct(*order)).alias("_first")).select("_first.*", F.lit(False).alias(flag))
     return df.join(first, order, "left").withColumn(flag, F.coalesce(flag, F.lit(True)))
 
 
@@ -29,19 +32,22 @@ def exact_pairs(df: DataFrame, key: str, text: str, n: int, threshold: float) ->
     """Pairs (a < b) of texts whose sets of word ``n``-grams have a Jaccard similarity of ``threshold`` or more.
 
     Prefix filter: in the global order of n-grams (rare ones first) two such sets share one of their first
-    size - ceil(threshold * size) + 1, so only those are joined; common n-grams are hardly ever among them.
+    size - ceil(threshold * size) + 1, so only those are joined; common n-grams are hardly ever among them, and n-grams of one
+    set are left out. All pairs of a group of near copies are in the result, as asked for.
     """
-    sets = df.select(F.col(key).alias("id"), F.array_distinct(T.ngrams(T.words(F.col(text)), n)).alias("grams")).where(F.size("grams") > 0)
-    sets = sets.select("id", F.transform("grams", lambda g: F.xxhash64(g)).alias("grams"))
+    grams = F.array_distinct(F.transform(T.ngrams(T.words(F.col(text)), n), lambda g: F.xxhash64(g)))
+    sets = saved(df.select(F.col(key).alias("id"), grams.alias("grams")).where(F.size("grams") > 0))
     each = sets.select("id", F.explode("grams").alias("gram"))
-    frequency = each.groupBy("gram").agg(F.count("*").alias("df"))
-    ordered = each.join(frequency, "gram").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: x["gram"]).alias("grams"))
-    prefix = F.slice("grams", F.lit(1), F.size("grams") - F.ceil(F.lit(threshold) * F.size("grams")).cast("int") + 1)
-    keys = ordered.select("id", F.size("grams").alias("n"), F.explode(prefix).alias("gram"))
+    frequency = each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")  # others are the rarest and meet no one
+    ranked = each.join(frequency, "gram").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: x["gram"]).alias("common"))
+    sized = sets.select("id", F.size("grams").alias("n")).join(ranked, "id")
+    # Of the first size - ceil(threshold * size) + 1, those that another set has.
+    keys = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1 - (F.col("n") - F.size("common"))
+    keys = sized.where(keys > 0).select("id", "n", F.explode(F.slice("common", F.lit(1), keys)).alias("gram"))
     a, b = (keys.select("gram", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     near = (F.col("a") < F.col("b")) & (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
     pairs = a.join(b, "gram").where(near).select("a", "b").distinct()
-    left, right = (ordered.select(F.col("id").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
+    left, right = (sets.select(F.col("id").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("grams_a", "grams_b")))
     return both.select("a", "b", "common", (F.size("grams_a") + F.size("grams_b") - F.col("common")).alias("either")).where(F.col("common") >= threshold * F.col("either"))
 

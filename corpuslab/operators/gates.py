@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,13 @@ def cascade(df: DataFrame, gates: list[Gate], reason: str = "reason") -> DataFra
     return df.withColumn(reason, T.first_reason([(g.name, g.rejects) for g in gates]))
 
 
+def text_cascade(df: DataFrame, text: Column, gates: Callable[[Column], list[Gate]], reason: str = "reason", name: str = "text") -> DataFrame:
+    """``df`` with ``text`` as column ``name`` and the first gate that rejects it. The text is computed once, however many gates name it."""
+    both = T.let(text, lambda t: F.struct(t.alias(name), T.first_reason([(g.name, g.rejects) for g in gates(t)]).alias(reason)))
+    columns = [c for c in df.columns if c not in (name, reason)]
+    return df.select(*columns, F.inline(F.array(both)).alias(name, reason))
+
+
 def funnel(df: DataFrame, by: str | None = None, reason: str = "reason") -> DataFrame:
     """Rows by reason (and ``by``)."""
     return df.groupBy(*([by] if by else []), reason).agg(F.count("*").alias("n"))

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow as A
 from ..functions import text as T
+from ..functions.chars import CLASSES, class_counts
 from ..operators import contamination as C
 from ..operators import dedup as D
 from ..operators import gates as G
 from ..operators import sampling as S
 from ..profile import LATIN
+from ..sources.work import saved
 from .registry import query, table
 
 _NORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
@@ -24,8 +26,10 @@ _DIRTY = "CASE WHEN doc_id % 7 = 0 THEN concat(text, chr(65533), chr(65533), chr
 
 
 def _clean(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang", T.normalise(F.col("text")).alias("t"))
-    return G.cascade(docs, G.clean_gates(F.col("t"), LATIN))
+    """doc_id, source, reason and the hash of the normalised text, from one pass over the texts."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    gated = G.text_cascade(docs, T.normalise(F.col("text")), lambda t: G.clean_gates(t, LATIN))
+    return saved(gated.select("doc_id", "source", "reason", F.md5("text").alias("h")))
 
 
 def _dirty(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +47,7 @@ def _dirty(spark: SparkSession, d: str) -> DataFrame:
 def clean_exact(spark: SparkSession, d: str) -> DataFrame:
     """Normalise, gate, drop exact copies of what passed, and count by source and reason."""
     gated = _clean(spark, d)
-    flagged = D.flag_duplicates(gated.where("reason = 'ok'"), "t", ["doc_id"]).withColumn("reason", F.when(F.col("duplicate"), "duplicate").otherwise("ok"))
+    flagged = D.flag_duplicates(gated.where("reason = 'ok'"), "h", ["doc_id"]).withColumn("reason", F.when(F.col("duplicate"), "duplicate").otherwise("ok"))
     return G.funnel(flagged.select("source", "reason").unionByName(gated.where("reason <> 'ok'").select("source", "reason")), "source")
 
 
@@ -53,7 +57,7 @@ def clean_exact(spark: SparkSession, d: str) -> DataFrame:
 )
 def gate_funnel(spark: SparkSession, d: str) -> DataFrame:
     ok = F.col("reason") == "ok"
-    found = _clean(spark, d).rollup("source").agg(F.count("*").alias("raw"), F.count_if(ok).alias("passed"), F.count_distinct(F.when(ok, F.md5("t"))).alias("distinct_texts"))
+    found = _clean(spark, d).rollup("source").agg(F.count("*").alias("raw"), F.count_if(ok).alias("passed"), F.count_distinct(F.when(ok, F.col("h"))).alias("distinct_texts"))
     return found.withColumn("source", F.coalesce("source", F.lit("all")))
 
 
@@ -76,11 +80,12 @@ def normalise_text(spark: SparkSession, d: str) -> DataFrame:
  len(regexp_extract_all(text, '[\p{P}\p{S}]')) AS punct, len(regexp_extract_all(text, '\S')) AS total FROM documents"""
 )
 def script_profile(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", *(c.alias(k) for k, c in T.script_profile(F.col("text")).items()))
+    docs = table(spark, d, "documents").select("doc_id", class_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
+    return docs.select("doc_id", *("cyrillic", "latin", "arabic", "digit", "punct"), sum((F.col(c) for c in CLASSES[2:]), F.col("cyrillic")).alias("total"))
 
 
 @query(
-    rf"""SELECT page_id, len(regexp_extract_all(html, 'https?://\S+')) AS urls, len(regexp_extract_all(html, '<[^>]{{1,200}}>')) AS tags,
+    rf"""SELECT page_id, len(regexp_extract_all(html, '(?i)https?://\S+')) AS urls, len(regexp_extract_all(html, '<[^>]{{1,200}}>')) AS tags,
  {_SPECIAL.format("html")} AS special, regexp_matches(html, '_{{5,}}') AS underscores FROM pages"""
 )
 def junk_features(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +94,7 @@ def junk_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    rf"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN len(regexp_extract_all(html, 'https?://\S+')) * 1000 / greatest(length(html), 1) > 5 THEN 'junk:urls'
+    rf"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN len(regexp_extract_all(html, '(?i)https?://\S+')) * 1000 / greatest(length(html), 1) > 5 THEN 'junk:urls'
  WHEN len(regexp_extract_all(html, '<[^>]{{1,200}}>')) > 5 THEN 'junk:tags' WHEN {_SPECIAL.format("html")} > 0.15 THEN 'junk:special' WHEN contains(lower(html), 'copyright') THEN 'junk:copyright'
  WHEN contains(lower(html), 'license') THEN 'junk:license' WHEN contains(lower(html), 'all rights reserved') THEN 'junk:all rights reserved' WHEN regexp_matches(html, '_{{5,}}') THEN 'junk:underscores' ELSE 'ok' END AS reason FROM pages) GROUP BY reason"""
 )
@@ -98,7 +103,7 @@ def junk_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN length(html) < 50 THEN 'too_short' WHEN len(regexp_extract_all(html, 'https?://\S+')) * 1000 / greatest(length(html), 1) > 5 THEN 'urls'
+    r"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN length(html) < 50 THEN 'too_short' WHEN len(regexp_extract_all(html, '(?i)https?://\S+')) * 1000 / greatest(length(html), 1) > 5 THEN 'urls'
  WHEN len(regexp_extract_all(html, '<[^>]{1,200}>')) > 5 THEN 'tags' ELSE 'ok' END AS reason FROM pages) GROUP BY reason"""
 )
 def collect_reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -141,9 +146,8 @@ def foreign_blocks(spark: SparkSession, d: str) -> DataFrame:
  c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL) SELECT doc_id, cast(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS repeated, cast(sum(n) AS BIGINT) AS total FROM c GROUP BY doc_id"""
 )
 def repeated_ngram_ratio(spark: SparkSession, d: str) -> DataFrame:
-    grams = table(spark, d, "documents").select("doc_id", F.explode(F.transform(T.ngrams(T.words(F.col("text")), 10), lambda g: F.xxhash64(g))).alias("g"))
-    counts = grams.groupBy("doc_id", "g").agg(F.count("*").alias("n"))
-    return counts.groupBy("doc_id").agg(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("repeated"), F.sum("n").alias("total"))
+    docs = table(spark, d, "documents").select("doc_id", T.repeated_ngrams(F.col("text"), 10).alias("x")).select("doc_id", "x.*")
+    return docs.where("total > 0").select("doc_id", F.col("repeated").cast("long"), F.col("total").cast("long"))
 
 
 @query("SELECT doc_id, md5(nfc_normalize(t)) AS h FROM (SELECT doc_id, concat(text, 'e', chr(769)) AS t FROM documents)")
@@ -172,7 +176,7 @@ def truncate_at_break(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, 'https?://\S+', '', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '', 'g'), '<[^>]{1,200}>', '', 'g')) AS h FROM pages"""
+    r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '(?i)https?://\S+', '', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '', 'g'), '<[^>]{1,200}>', '', 'g')) AS h FROM pages"""
 )
 def remove_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.md5(T.without_links(F.col("html"))).alias("h"))

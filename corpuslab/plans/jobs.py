@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.writers import append_pending, cache_key
+from ..sources.work import work_folder
 from ..streaming.jobs import dedup_stream, new_members, stream_files, windowed_counts
 from .registry import query, table
 
 
-def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.gettempdir()}/corpuslab-jobs"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex[:12]}"
-
-
 @query("SELECT min(event_type) AS event_type, user_id FROM events GROUP BY user_id, event_type")
 def incremental_dedup(spark: SparkSession, d: str) -> DataFrame:
     """One row for each (user, type) from a stream of the events' files."""
     path, schema = f"{d}/events.parquet", table(spark, d, "events").schema
-    out = _folder(spark)
+    out = work_folder(spark)
     source = stream_files(spark, path + "*", schema).select("event_type", "user_id")
     dedup_stream(source, F.concat_ws("|", "user_id", "event_type"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/rows")
@@ -34,7 +23,7 @@ def incremental_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT user_id FROM events")
 def incremental_new_keys(spark: SparkSession, d: str) -> DataFrame:
-    out = _folder(spark)
+    out = work_folder(spark)
     new_members(stream_files(spark, f"{d}/events.parquet*", table(spark, d, "events").schema), "user_id", f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/rows")
 
@@ -47,7 +36,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, lang FROM documents")
 def resume_pending(spark: SparkSession, d: str) -> DataFrame:
     """Two runs of a job that appends only what is pending."""
-    docs, out = table(spark, d, "documents").select("doc_id", "lang"), _folder(spark)
+    docs, out = table(spark, d, "documents").select("doc_id", "lang"), work_folder(spark)
     append_pending(docs.where("doc_id % 2 = 0"), out, "doc_id")
     append_pending(docs, out, "doc_id")
     return spark.read.parquet(out)
