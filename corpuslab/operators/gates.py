@@ -112,3 +112,78 @@ def seed_sentence(text: Column, words: tuple[int, int] = (6, 30), junk: tuple[st
     """As many words, an upper-case start, a sentence end, no junk, and digits up to a tenth (or three)."""
     n = T.word_count(text)
     return (n >= words[0]) & (n <= words[1]) & text.rlike(r"^\p{Lu}") & text.rlike(r"[.!?]$") & ~text.rlike("|".join(f"\\Q{j}\\E" for j in junk)) & (T.count(text, "[0-9]") <= F.greatest(F.lit(3.0), F.length(text) * 0.1))
+
+
+def repetition(text: Column, n: int = 10) -> Column:
+    """The share of a text's word ``n``-grams that occur more than once; 0 of fewer words."""
+    return T.let(T.repeated_ngrams(text, n), lambda x: T.share(x["repeated"], x["total"]))
+
+
+def gzip_below_hundred(text: Column) -> Column:
+    """Compressed size by size, and 0 of under a hundred bytes: so short texts count as repetitive."""
+    from ..functions.arrow import gzip_ratio
+
+    return F.when(F.octet_length(text) < 100, F.lit(0.0)).otherwise(gzip_ratio(text))
+
+
+def whole_cascade(text: Column, p: LanguageProfile, *, language: Column | None = None, repeated: bool = True) -> list[Gate]:
+    """The corpus cascade: length, words, alphabet, script, language (a condition to reject), junk with sub-reasons, repetition."""
+    first, rest = clean_gates(text, p)[:4], [Gate("language", language)] if language is not None else []
+    again = [Gate("repetition", repetition(text) >= p.max_repeated)] if repeated else []
+    return [*first, *script_gates(text, p), *rest, *junk_gates(text, p), *again]
+
+
+def bilingual_gates(text: Column, p: LanguageProfile, language: Column | None = None) -> list[Gate]:
+    """For either side of a pair, after links and tags are gone: length, script, language (a condition to reject)."""
+    return [Gate("too_short", F.length(text) < 50), script_gates(text, p)[0], *([Gate("language", language)] if language is not None else [])]
+
+
+def cut(text: Column, most: int = 500_000) -> Column:
+    """At most ``most`` characters; longer texts are cut and not dropped."""
+    return F.substring(text, 1, most)
+
+
+def balanced_gates(df: DataFrame, text: str, p: LanguageProfile, *, lang: str = "predicted_language", wanted: str = "kaz", flag: str = "contains_kaz_symbols") -> list[Gate]:
+    """Length, and as far as ``df`` has the columns the predicted language and a flag; then the alphabet."""
+    gates = [Gate("too_short", F.length(text) < 30)]
+    if lang in df.columns:
+        gates.append(Gate("language", ~F.col(lang).eqNullSafe(wanted)))
+    if flag in df.columns:
+        gates.append(Gate("flag", ~F.coalesce(F.col(flag).cast("boolean"), F.lit(False))))
+    return [*gates, Gate("no_alphabet", ~F.col(text).rlike(f"[{p.distinctive}]"))]
+
+
+def keyword_hits(text: Column, words: list[str]) -> Column:
+    """Those of ``words`` that stand in the text, in any case, with no letter beside them."""
+    return F.filter(F.array(*map(F.lit, words)), lambda w: F.rlike(text, F.concat(F.lit(r"(?i)(?:^|[^\p{L}])"), w, F.lit(r"(?:$|[^\p{L}])"))))
+
+
+def instruction_skipped(text: Column, words: tuple[str, ...]) -> Column:
+    """Under three words, or one of ``words`` anywhere in it, in any case."""
+    return (T.word_count(text) < 3) | F.lower(text).rlike("|".join(f"\\Q{w.lower()}\\E" for w in words))
+
+
+def script_ratio(text: Column, script: str) -> Column:
+    """Letters of the script, of all letters; 0 without letters."""
+    return T.share(T.count(text, f"[{script}]"), T.count(text, r"\p{L}"))
+
+
+def seed_variant(text: Column, *, words: tuple[int, int] = (8, 40), digits: float | None = None, endings: tuple[str, ...] = ()) -> Column:
+    """A seed sentence of as many words; with ``digits`` at most that share of its characters, with ``endings`` a word that ends so."""
+    n = T.word_count(text)
+    out = (n >= words[0]) & (n <= words[1]) & text.rlike(r"^\p{Lu}") & text.rlike(r"[.!?]$")
+    if digits is not None:
+        out = out & (T.share(T.count(text, "[0-9]"), F.length(text)) <= digits)
+    if endings:
+        out = out & text.rlike(rf"(?:{'|'.join(endings)})(?:[^\p{{L}}]|$)")
+    return out
+
+
+def first_line(text: Column, passes: Callable[[Column], Column]) -> Column:
+    """The first line, cleaned of labels and marks, for which ``passes`` holds; else null."""
+    return F.get(F.filter(F.transform(F.split(text, "\n"), T.clean_line), passes), 0)
+
+
+def all_reasons(gates: list[Gate]) -> Column:
+    """The names of all gates that reject a row."""
+    return F.filter(F.array(*(F.when(g.rejects, F.lit(g.name)) for g in gates)), lambda x: x.isNotNull())

@@ -23,7 +23,11 @@ def win_counts(battles: DataFrame) -> DataFrame:
 
 def bradley_terry(wins: DataFrame, anchor: str | None = None, scale: float = 400.0, base: float = 1000.0, rounds: int = 500) -> list[tuple[str, float]]:
     """Elo-scaled strengths by Newton's method on the logistic likelihood. What comes to the driver is one row for each pair of models."""
-    rows = wins.collect()
+    return strengths(wins.collect(), anchor, scale, base, rounds)
+
+
+def strengths(rows: list, anchor: str | None = None, scale: float = 400.0, base: float = 1000.0, rounds: int = 500) -> list[tuple[str, float]]:
+    """The same of the rows (a, b, points, games) themselves."""
     names = sorted({r["a"] for r in rows} | {r["b"] for r in rows})
     at = {n: i for i, n in enumerate(names)}
     won, played = np.zeros((len(names),) * 2), np.zeros((len(names),) * 2)
@@ -44,20 +48,98 @@ def bradley_terry(wins: DataFrame, anchor: str | None = None, scale: float = 400
     return list(zip(names, elo.tolist(), strict=True))
 
 
-def bootstrap(df: DataFrame, by: str, value: str, key: str, rounds: int = 200) -> DataFrame:
-    """Quantiles .025, .5 and .975 of resampled means by group. Each row counts a Poisson(1) number of times in each round, from a hash of its key, so rounds are one pass."""
-    each = df.select(by, value, key).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = (F.xxhash64(key, "round").bitwiseAND((1 << 52) - 1) + 0.5) / float(1 << 52)
-    # Cumulative probabilities of Poisson(1).
+def poisson(hashed: Column) -> Column:
+    """A Poisson(1) number from a 64-bit hash."""
+    u = (hashed.bitwiseAND((1 << 52) - 1) + 0.5) / float(1 << 52)
     weight, total, term = F.lit(0), 0.0, float(np.exp(-1))
     for k in range(1, 9):
         total += term
         weight = weight + (u > total).cast("int")
         term /= k
-    means = each.withColumn("w", weight).groupBy(by, "round").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
+    return weight
+
+
+def bootstrap(df: DataFrame, by: str, value: str, key: str, rounds: int = 200) -> DataFrame:
+    """Quantiles .025, .5 and .975 of resampled means by group. Each row counts a Poisson(1) number of times in each round, from a hash of its key, so rounds are one pass."""
+    each = df.select(by, value, key).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    means = each.withColumn("w", poisson(F.xxhash64(key, "round"))).groupBy(by, "round").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
     return means.groupBy(by).agg(*(F.percentile("mean", q).alias(n) for n, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))))
 
 
+def elo_bootstrap(battles: DataFrame, key: str, rounds: int = 100, anchor: str | None = None) -> list[tuple[str, float, float, float]]:
+    """model and the quantiles .025, .5 and .975 of its Elo over resamples of the battles; a row for each round and pair of models comes to the driver."""
+    drawn = battles.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", poisson(F.xxhash64(key, "round"))).where("w > 0")
+    a, b = F.col("model_a"), F.col("model_b")
+    points = F.when(F.col("winner") == "model_a", 2).when(F.col("winner") == "model_b", 0).otherwise(1)
+    both = drawn.select("round", a.alias("a"), b.alias("b"), (points * F.col("w")).alias("points"), "w").union(drawn.select("round", b.alias("a"), a.alias("b"), ((2 - points) * F.col("w")).alias("points"), "w"))
+    rows = both.groupBy("round", "a", "b").agg(F.sum("points").alias("points"), F.sum("w").alias("games")).collect()
+    found: dict[str, list[float]] = {}
+    for n in sorted({r["round"] for r in rows}):
+        for model, elo in strengths([r for r in rows if r["round"] == n], anchor):
+            found.setdefault(model, []).append(elo)
+    return [(m, *np.quantile(x, [0.025, 0.5, 0.975]).tolist()) for m, x in sorted(found.items())]
+
+
+def win_rates(elo: DataFrame, scale: float = 400.0) -> DataFrame:
+    """a, b and the expected rate at which a wins against b, for all pairs of the models in ``elo`` (model, elo): as many rows as models squared."""
+    a, b = (elo.select(F.col("model").alias(x), F.col("elo").alias(f"elo_{x}")) for x in "ab")
+    return a.join(b, F.col("a") != F.col("b")).select("a", "b", (1 / (1 + F.pow(F.lit(10.0), (F.col("elo_b") - F.col("elo_a")) / scale))).alias("rate"))
+
+
+def battles(judgments: DataFrame, weight: int = 3) -> DataFrame:
+    """model_a, model_b, winner, one row for each game of a judgment (question, model_a, model_b, games: array of verdicts as A>>B, A>B, A=B, B>A, B>>A), and ``weight`` rows for a clear one.
+
+    In the second game the models have changed places.
+    """
+    games = judgments.select("model_a", "model_b", F.posexplode("games").alias("game", "verdict"))
+    first = F.when(F.col("verdict").startswith("A>"), "model_a").when(F.col("verdict").startswith("B>"), "model_b").when(F.col("verdict") == "A=B", "tie")
+    turned = F.when(F.col("game") == 0, first).otherwise(F.when(first == "model_a", "model_b").when(first == "model_b", "model_a").otherwise(first))
+    times = F.when(F.col("verdict").contains(">>"), weight).otherwise(1)
+    return games.where(first.isNotNull()).select("model_a", "model_b", turned.alias("winner"), F.explode(F.sequence(F.lit(1), times)).alias("copy")).drop("copy")
+
+
+def with_requests(results: DataFrame, requests: DataFrame, keys: list[str], newest: str) -> DataFrame:
+    """``results`` with the columns of the newest request of the same keys; nulls without one."""
+    rest = [c for c in requests.columns if c not in keys]
+    last = requests.groupBy(*keys).agg(F.max_by(F.struct(*rest), newest).alias("_last"))
+    return results.join(last, keys, "left").select(*results.columns, *(F.col(f"_last.{c}").alias(c) for c in rest))
+
+
+def task_means(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Means by group with NaN counted as 0; nulls take no part."""
+    return df.groupBy(*by).agg(F.avg(F.nanvl(F.col(value), F.lit(0.0))).alias("mean"))
+
+
+def row_mean(columns: list[str]) -> Column:
+    """The mean of the columns that aren't null, to three places; null without any."""
+    values = F.filter(F.array(*(F.col(c).cast("double") for c in columns)), lambda x: x.isNotNull())
+    return F.when(F.size(values) > 0, F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values), 3))
+
+
+def queue_class(status: Column) -> Column:
+    return F.when(status.isin("PENDING", "RERUN"), "pending").when(status == "RUNNING", "running").when(status.startswith("FINISHED") | (status == "PENDING_NEW_EVAL"), "finished")
+
+
+def view(df: DataFrame, baseline: DataFrame, benchmarks: list[str], order: str) -> DataFrame:
+    """Rows and the baseline's, benchmarks to two places, without rows that lack one, ranked by ``order`` from the greatest."""
+    both = df.unionByName(baseline).dropna(subset=benchmarks).withColumns({c: F.round(c, 2) for c in benchmarks})
+    return both.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(order), *both.columns)))
+
+
+def judge_ranking(df: DataFrame, by: str, score: str, most: int = 30) -> DataFrame:
+    """By model: answered (a score that isn't null), errored, the sum of scores above 0, and its percentage of answered times ``most``."""
+    sums = df.groupBy(by).agg(F.count(score).alias("answered"), F.count_if(F.col(score).isNull()).alias("errored"), F.coalesce(F.sum(F.greatest(F.lit(0), F.col(score))), F.lit(0)).alias("points"))
+    return sums.withColumn("percent", F.when(F.col("answered") > 0, 100 * F.col("points") / (F.col("answered") * most)))
+
+
+def power_law(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: a and b of y = a x ** b by least squares of logarithms, and the standard error of b and its 95 % band."""
+    log_x, log_y = F.log(F.col(x)), F.log(F.col(y))
+    fit = df.where((F.col(x) > 0) & (F.col(y) > 0)).agg(F.count("*").alias("n"), F.regr_slope(log_y, log_x).alias("b"), F.regr_intercept(log_y, log_x).alias("i"), F.regr_sxx(log_y, log_x).alias("sxx"), F.regr_syy(log_y, log_x).alias("syy"), F.regr_sxy(log_y, log_x).alias("sxy"))
+    error = F.sqrt(F.greatest(F.col("syy") - F.col("b") * F.col("sxy"), F.lit(0.0)) / (F.col("n") - 2) / F.col("sxx"))
+    return fit.select("n", F.exp("i").alias("a"), "b", (F.col("b") - 1.96 * error).alias("low"), (F.col("b") + 1.96 * error).alias("high"))
+
+
 def merge_gaps(df: DataFrame, by: str, start: str, end: str, gap: float) -> DataFrame:
     """Segments joined where the next starts at most ``gap`` after all before it end."""
     order = Window.partitionBy(by).orderBy(start, end)

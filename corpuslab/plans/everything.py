@@ -1,4 +1,4 @@
 """Imports all query modules; the registry then holds every query."""
 
-from . import chunking, corpus, evaluation, jobs, more, structure  # noqa: F401
+from . import chunking, corpus, evaluation, jobs, language, more, structure  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
