@@ -74,7 +74,7 @@ def exchange(question: Column, answer: Column) -> Column:
     return F.array(turn("user", question), turn("assistant", answer)).cast(MESSAGES)
 
 
-def best_paths(nodes: DataFrame, most: int = 64) -> DataFrame:
+def best_paths(nodes: DataFrame) -> DataFrame:
     """From a forest of messages (id, parent, rank, text; a root has no parent) each root's path of least-ranked children (nulls last, then id).
 
     Children are ranked first, so a level is one join of the paths' ends with the chosen child of each parent.
@@ -83,11 +83,10 @@ def best_paths(nodes: DataFrame, most: int = 64) -> DataFrame:
     chosen = chosen.select(F.col("parent").alias("end"), F.col("c.id").alias("child"), F.col("c.text").alias("child_text"))
     paths = nodes.where("parent IS NULL").select(F.col("id").alias("root"), F.col("id").alias("end"), F.lit(0).alias("depth"), F.array("text").alias("path"))
     done = None
-    for _ in range(most):
+    while True:  # as often as the longest path has levels; nodes have one parent, so paths from roots end
         grown = paths.join(chosen, "end", "left")
         ended = grown.where("child IS NULL").select("root", "end", "depth", "path")
         done = ended if done is None else done.union(ended)
         paths = grown.where("child IS NOT NULL").select("root", F.col("child").alias("end"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child_text")).alias("path")).checkpoint()
         if paths.isEmpty():
             return done
-    raise ValueError(f"a path is longer than {most}")

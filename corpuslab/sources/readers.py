@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,3 +89,81 @@ def ordered_union(frames: Sequence[DataFrame], rank: str = "source_rank") -> Dat
     if out is None:
         raise ValueError("no frame")
     return out
+
+
+@dataclass(frozen=True)
+class Source:
+    """One entry of a source registry: where its files are, their format, and which columns hold the text."""
+
+    name: str
+    path: str
+    format: str = "parquet"
+    text_columns: tuple[str, ...] = ()
+    schema: str | None = None
+    options: dict[str, str] = field(default_factory=dict)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """text and source; without named columns the first that resolves."""
+        reader = spark.read.options(**self.options)
+        df = (reader.schema(self.schema) if self.schema else reader).format(self.format).load(self.path)
+        names = self.text_columns or (resolve_text_column(df),)
+        text = joined_text(df, names) if len(names) > 1 else F.col(names[0]).cast("string")
+        return df.select(text.alias("text"), F.lit(self.name).alias("source"))
+
+
+def read_sources(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
+    """The texts of all sources in the registry's order, with each one's rank."""
+    return ordered_union([s.read(spark) for s in sources])
+
+
+def read_csv_domains(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """CSV files with the stem of each row's file as ``domain``."""
+    df = spark.read.schema(schema).options(header=True, multiLine=True, escape='"').csv(path)
+    return df.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.csv", 1).alias("domain"))
+
+
+def read_chunks(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """JSON lines of a folder's files with ``chunk``, the file's name, by which rows are to be ordered."""
+    return spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_name").alias("chunk"))
+
+
+def read_page_archives(spark: SparkSession, path: str, least: int = 100) -> DataFrame:
+    """domain (the folder in the archive), name and html of the pages in tar.gz archives; pages of fewer characters are left out. One task reads one archive, page by page."""
+    import pyarrow as pa
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+        import tarfile
+
+        for batch in batches:
+            for content in batch.column(0):
+                rows: list[tuple[str, str, str]] = []
+                with tarfile.open(fileobj=io.BytesIO(content.as_py()), mode="r:*") as archive:
+                    for member in archive:
+                        if member.isfile() and member.name.lower().endswith((".html", ".htm")):
+                            html = archive.extractfile(member).read().decode("utf-8", "replace")
+                            if len(html) >= least:
+                                rows.append((member.name.strip("./").split("/")[0], member.name, html))
+                        if len(rows) >= 200:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], ["domain", "name", "html"])
+                            rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], ["domain", "name", "html"])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(pages, "domain string, name string, html string")
+
+
+def sitemap_urls(start: str, fetch: Callable[[str], str | None], most: int = 10_000) -> list[str]:
+    """The page URLs of a sitemap and the sitemaps that it names, each once, in the order met; ``fetch`` gives a URL's XML or null."""
+    import re
+
+    pages, seen, todo = [], {start}, [start]
+    while todo and len(seen) <= most:
+        xml = fetch(todo.pop(0)) or ""
+        found = [u.strip() for u in re.findall(r"(?is)<loc>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</loc>", xml)]
+        for url in found:
+            if url not in seen:
+                seen.add(url)
+                (todo if "<sitemapindex" in xml or url.lower().endswith(".xml") else pages).append(url)
+    return pages
