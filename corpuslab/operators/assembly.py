@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,11 +187,10 @@ def register(agent: Agent) -> Agent:
 
 def run_agent(df: DataFrame, agent: Agent | str, inputs: list[str]) -> DataFrame:
     """``df`` with the agent's columns, unless it has them all; columns that it has are filled only where they are null."""
-    import pandas as pd
-
     agent = AGENTS[agent] if isinstance(agent, str) else agent
     if set(agent.columns) <= set(df.columns):
         return df
+    process, names = agent.process, list(agent.columns)  # the mask stays on the driver
 
     @F.pandas_udf(", ".join(f"{c} {t}" for c, t in agent.columns.items()))
     def processed(rows: pd.DataFrame) -> pd.DataFrame:
@@ -199,11 +199,11 @@ def run_agent(df: DataFrame, agent: Agent | str, inputs: list[str]) -> DataFrame
             found: dict = {}
             if row.pop("_run"):
                 try:
-                    found = agent.process(row)
+                    found = process(row)
                 except Exception:  # a plug-in's failure is a null, by contract
                     found = {}
-            out.append({c: found.get(c) for c in agent.columns})
-        return pd.DataFrame(out, columns=list(agent.columns), dtype=object)
+            out.append({c: found.get(c) for c in names})
+        return pd.DataFrame(out, columns=names, dtype=object)
 
     mask = F.lit(True) if agent.mask is None else F.coalesce(agent.mask, F.lit(False))
     found = df.withColumn("_agent", processed(F.struct(*inputs, mask.alias("_run"))))

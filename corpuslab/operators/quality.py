@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,21 @@ def tiers(df: DataFrame, score: str, cuts: tuple[float, float, float] = (0.25, 0
 def page(df: DataFrame, order: list[Column], size: int, number: int) -> DataFrame:
     """Page ``number`` (from 0) of ``size`` rows; ``order`` must be total."""
     return df.orderBy(*order).offset(size * number).limit(size)
+
+
+def order_statistics(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """By group the value at index floor(share * n) of the sorted values, for each named share; nulls take no part.
+
+    Values are counted first; of the distinct ones the running count is taken within ranges of the value and over the
+    ranges' sums, so no task holds or sorts a group's rows.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
+    edges = counts.groupBy(by).agg(F.sum("_c").alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    width = F.greatest((F.col("_high") - F.col("_low")).cast("double") / 256, F.lit(1e-300))
+    placed = counts.join(F.broadcast(edges), by).withColumn("_part", F.least(F.lit(255), F.floor((F.col(value) - F.col("_low")) / width)))
+    sums = placed.groupBy(by, "_part").agg(F.sum("_c").alias("_s"))
+    before = sums.select(by, "_part", F.coalesce(F.sum("_s").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.sum("_c").over(Window.partitionBy(by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    upto = placed.withColumn("_in", within).join(F.broadcast(before), [by, "_part"]).withColumn("_upto", F.col("_before") + F.col("_in"))
+    at = lambda s: F.least(F.floor(F.lit(s) * F.col("_n")), F.col("_n") - 1)
+    return upto.groupBy(by).agg(*(F.min(F.when(F.col("_upto") > at(s), F.col(value))).alias(name) for name, s in shares.items()))
