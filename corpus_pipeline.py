@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. Whoever
 runs the stages writes what each returns and reads it again as the next one's ``docs``, which also bounds each plan.
+
+Null ids and null texts stay (a null text is empty to the operators, has no words and no ids); of repeated ids in a class of near
+duplicates one row stays; very long texts are worked on whole. Columns beyond those of ``documents`` are dropped by the first
+stage, so their names can't clash. Empty tables give empty results; without labels no document is toxic.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic. It learns from ``labels`` and the input's texts."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, model, score="_toxicity").where(F.col("_toxicity") < THRESHOLD).select(*COLUMNS)
+    return scored(docs.select(*COLUMNS), model, score="_toxicity").where(F.col("_toxicity") < THRESHOLD).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +53,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secrets", secrets), ("pieces", pieces)]
 
-#: SQL expresses neither the classifier nor the samples nor the pieces; tests compare the stages with brute force.
+#: SQL expresses neither the classifier nor the samples nor the pieces. Tests compare the operators with brute force, and the stages on edge tables.
 ORACLE_SQL = None
 
 

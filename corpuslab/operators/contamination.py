@@ -32,9 +32,3 @@ def item_overlap(items: DataFrame, corpus: DataFrame, *, key: str = "item_id", t
         found = corpus.select(F.explode(T.char_ngrams(_plain(text), n)).alias("gram")).join(wanted, "gram", "left_semi")
     found = found.distinct().withColumn("hit", F.lit(1))
     return own.join(found, "gram", "left").groupBy(key).agg(F.count("*").alias("n_grams"), F.count("hit").alias("n_found"))
-
-
-def nearest_rank(values: Column, share: float) -> Column:
-    """The value at index floor(share * n) of the sorted values."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, F.least(F.floor(F.lit(share) * F.count(values)).cast("int") + 1, F.count(values).cast("int")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,18 +151,51 @@ def merge_gaps(df: DataFrame, by: str, start: str, end: str, gap: float) -> Data
     return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(by, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"))
 
 
-def merge_capped(df: DataFrame, by: str, start: str, end: str, gap: float, most: float) -> DataFrame:
-    """As :func:`merge_gaps`, but no joined segment is longer than ``most``; in order of start, by a fold over each group's segments."""
-    segments = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(start).cast("double").alias("start"), F.col(end).cast("double").alias("end")))).alias("s"))
-    empty = F.array().cast("array<struct<start:double,end:double>>")
+def merge_capped(df: DataFrame, by: str, start: str, end: str, gap: float, most: float, least: float = 0.0, cut: bool = False) -> DataFrame:
+    """As :func:`merge_gaps`, but no joined segment is longer than ``most``. With ``cut`` longer single ones are cut; what is shorter than ``least`` goes.
 
-    def add(out: Column, s: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        joins = (s["start"] - last["end"] <= gap) & (s["end"] - last["start"] <= most)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, F.array(s)))
+    The rule is sequential, so a group's segments go through one task in order of start; it holds one of them.
+    """
 
-    return segments.select(by, F.explode(F.aggregate("s", empty, add)).alias("s")).select(by, F.col("s.start").alias(start), F.col("s.end").alias(end))
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list | None = None
+        types: list[pa.DataType] = []
+        for batch in batches:
+            out: list[list] = []
+            for key, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is not None and key == now[0] and a - now[2] <= gap and b - now[1] <= most:
+                    now[2] = max(now[2], b)
+                    continue
+                if now is not None:
+                    out.append(now)
+                now = [key, a, b]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(batch.schema.types)], [by, start, end])
+            types = batch.schema.types
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(now, types, strict=True)], [by, start, end])
+
+    rows = df.select(by, F.col(start).cast("double"), F.col(end).cast("double")).repartition(by).sortWithinPartitions(by, start, end)
+    found = rows.mapInArrow(folded, rows.schema)
+    if cut:
+        parts = F.ceil((F.col(end) - F.col(start)) / most).cast("int")
+        found = found.withColumn("_i", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+        found = found.select(by, (F.col(start) + F.col("_i") * most).alias(start), F.least(F.col(end), F.col(start) + (F.col("_i") + 1) * most).alias(end))
+    return found.where(F.col(end) - F.col(start) >= least)
+
+
+def top_products(queries: DataFrame, facts: DataFrame, k: int, *, floor: float | None = None, block: int = 4096) -> DataFrame:
+    """q, vec_id and rank of the ``k`` facts (vec_id, e) of greatest inner product with each query (q, x), other than itself; of ``floor`` or more.
+
+    Queries go out in blocks of about ``block``, each broadcast by itself over one scan of the facts, whose partitions rank before the shuffle.
+    """
+    score = F.round(F.aggregate(F.zip_with("x", "e", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p), 9)
+    blocks, out = max(1, -(-queries.count() // block)), None
+    for i in range(blocks):
+        both = facts.crossJoin(F.broadcast(queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i))).where("q <> vec_id").select("q", "vec_id", score.alias("s"))
+        both = both if floor is None else both.where(F.col("s") >= floor)
+        top = both.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where(F.col("rank") <= k).select("q", "vec_id", F.col("rank").cast("long"))
+        out = top if out is None else out.union(top)
+    return out
 
 
 def spans(df: DataFrame, by: str, at: str, tag: str, token: str) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.chars import CLASSES, class_counts
 from ..operators import contamination as C
 from ..operators import dedup as D
 from ..operators import gates as G
+from ..operators import quality as Q
 from ..operators import sampling as S
 from ..profile import LATIN
 from ..sources.work import saved
@@ -251,12 +252,15 @@ def contamination_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_ITEMS}, r AS (SELECT n_found / n_grams AS r FROM o) SELECT count(*) AS items, count(*) FILTER (r > 0.5) AS contaminated, max(r) AS max_ratio, median(r) AS median_ratio,
+    f"""WITH {_ITEMS}, r AS (SELECT n_found / n_grams AS r FROM o) SELECT count(*) AS items, count(*) FILTER (r > 0.5) AS contaminated, max(r) AS max_ratio, round(avg(r), 9) AS mean_ratio, (SELECT count(*) FROM benchmark) - count(*) AS skipped, median(r) AS median_ratio,
  list_sort(list(r))[least(cast(floor(0.95 * count(*)) AS INT) + 1, count(*))] AS p95_ratio FROM r"""
 )
 def contamination_summary(spark: SparkSession, d: str) -> DataFrame:
-    r = contamination_items(spark, d).select((F.col("n_found") / F.col("n_grams")).alias("r"))
-    return r.agg(F.count("*").alias("items"), F.count_if(F.col("r") > 0.5).alias("contaminated"), F.max("r").alias("max_ratio"), F.median("r").alias("median_ratio"), C.nearest_rank(F.col("r"), 0.95).alias("p95_ratio"))
+    r = saved(contamination_items(spark, d).select(F.lit(0).alias("all"), (F.col("n_found") / F.col("n_grams")).alias("r")))
+    sums = r.groupBy("all").agg(F.count("*").alias("items"), F.count_if(F.col("r") > 0.5).alias("contaminated"), F.max("r").alias("max_ratio"), F.round(F.avg("r"), 9).alias("mean_ratio"))
+    ranks = Q.percentiles(r, "all", "r", {"median_ratio": 0.5}).join(Q.order_statistics(r, "all", "r", {"p95_ratio": 0.95}), "all")
+    skipped = table(spark, d, "benchmark").agg(F.count("*").alias("given"))
+    return sums.join(ranks, "all").crossJoin(skipped).withColumn("skipped", F.col("given") - F.col("items")).drop("all", "given")
 
 
 _ORDER = "md5('42:' || cast(doc_id AS VARCHAR))"
@@ -309,7 +313,7 @@ def quota_select(spark: SparkSession, d: str) -> DataFrame:
 )
 def running_total_stop(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select("event_id", "event_type", (F.col("event_id") % 97).alias("a"))
-    return S.running_until(events, ["event_type"], ["event_id"], "a", 1000).select("event_id", "running")
+    return S.running_until(events, "event_type", "event_id", "a", 1000).select("event_id", "running")
 
 
 @query(
@@ -325,11 +329,11 @@ def multi_column_filter(spark: SparkSession, d: str) -> DataFrame:
  quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.75) AS p75 FROM documents GROUP BY lang"""
 )
 def token_stats_by_lang(spark: SparkSession, d: str) -> DataFrame:
-    return (
-        table(spark, d, "documents")
-        .groupBy("lang")
+    docs = table(spark, d, "documents")
+    sums = (
+        docs.groupBy("lang")
         .agg(
             F.count("*").alias("rows"), F.sum("n_chars").alias("chars"), F.sum(T.word_count(F.col("text"))).alias("words"), F.sum(F.octet_length("text")).alias("bytes"),
-            F.percentile("n_chars", 0.5).alias("p50"), F.percentile("n_chars", 0.75).alias("p75"),
         )
     )
+    return sums.join(Q.percentiles(docs, "lang", "n_chars", {"p50": 0.5, "p75": 0.75}), "lang")

@@ -23,11 +23,10 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_PPL} SELECT count(*) AS n, count(*) FILTER (NOT {_FIN}) AS infinite, min(ppl) AS least, median(ppl) FILTER ({_FIN}) AS median, quantile_cont(ppl, 0.25) FILTER ({_FIN}) AS p25, quantile_cont(ppl, 0.75) FILTER ({_FIN}) AS p75, cast(sum(ppl * 8) FILTER ({_FIN}) AS BIGINT) AS eighths FROM s")
 def ppl_summary(spark: SparkSession, d: str) -> DataFrame:
-    ok = Q.finite(F.col("ppl"))
-    p = F.when(ok, F.col("ppl"))
-    return _scored(spark, d).agg(
-        F.count("*").alias("n"), F.count_if(~ok).alias("infinite"), F.min(p).alias("least"), F.median(p).alias("median"), F.percentile(p, 0.25).alias("p25"), F.percentile(p, 0.75).alias("p75"), F.sum((p * 8).cast("long")).alias("eighths")
-    )
+    s, ok = _scored(spark, d), Q.finite(F.col("ppl"))
+    sums = s.agg(F.count("*").alias("n"), F.count_if(~ok).alias("infinite"), F.min(F.when(ok, F.col("ppl"))).alias("least"), F.sum(F.when(ok, (F.col("ppl") * 8).cast("long"))).alias("eighths"))
+    ranks = Q.percentiles(s.where(ok).withColumn("all", F.lit(0)), "all", "ppl", {"median": 0.5, "p25": 0.25, "p75": 0.75}).drop("all")
+    return sums.crossJoin(F.broadcast(ranks))
 
 
 @query(f"WITH {_PPL} SELECT CASE WHEN NOT {_FIN} THEN 'none' WHEN ppl < 10 THEN '[0,10)' WHEN ppl < 50 THEN '[10,50)' WHEN ppl < 100 THEN '[50,100)' ELSE '[100,inf)' END AS bucket, count(*) AS n FROM s GROUP BY 1")
@@ -40,12 +39,15 @@ _TIERS = f"{_PPL}, e AS (SELECT quantile_cont(ppl, 0.25) AS a, quantile_cont(ppl
 
 @query(f"WITH {_TIERS} SELECT tier, count(*) AS n, min(ppl) AS least, median(ppl) AS median, cast(sum(n_chars) AS BIGINT) AS chars FROM t GROUP BY tier")
 def ppl_tiers(spark: SparkSession, d: str) -> DataFrame:
-    return Q.tiers(_scored(spark, d), "ppl", (0.25, 0.5, 0.75)).groupBy("tier").agg(F.count("*").alias("n"), F.min("ppl").alias("least"), F.median("ppl").alias("median"), F.sum("n_chars").alias("chars"))
+    t = Q.tiers(_scored(spark, d), "ppl", (0.25, 0.5, 0.75))
+    sums = t.groupBy("tier").agg(F.count("*").alias("n"), F.min("ppl").alias("least"), F.sum("n_chars").alias("chars"))
+    return sums.join(Q.percentiles(t, "tier", "ppl", {"median": 0.5}), "tier")
 
 
 @query(f"WITH {_PPL} SELECT source, count(*) AS n, median(ppl) AS median FROM s WHERE {_FIN} GROUP BY source")
 def ppl_by_source(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).where(Q.finite(F.col("ppl"))).groupBy("source").agg(F.count("*").alias("n"), F.median("ppl").alias("median"))
+    s = _scored(spark, d).where(Q.finite(F.col("ppl")))
+    return s.groupBy("source").agg(F.count("*").alias("n")).join(Q.percentiles(s, "source", "ppl", {"median": 0.5}), "source")
 
 
 @query(f"WITH {_PPL} SELECT doc_id, ppl FROM s WHERE ppl BETWEEN 10 AND 100 AND n_chars >= 50 ORDER BY ppl, doc_id LIMIT 20 OFFSET 20")
@@ -62,7 +64,7 @@ def best_worst_k(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_PPL} SELECT source, count(*) AS n FROM s WHERE {_FIN} AND n_chars >= 50 AND ppl <= (SELECT quantile_cont(ppl, 0.5) FROM s WHERE {_FIN}) GROUP BY source")
 def quality_export(spark: SparkSession, d: str) -> DataFrame:
     s = _scored(spark, d).where(Q.finite(F.col("ppl")))
-    cut = s.agg(F.percentile("ppl", 0.5).alias("cut"))
+    cut = Q.percentiles(s.withColumn("all", F.lit(0)), "all", "ppl", {"cut": 0.5}).select("cut")
     return s.crossJoin(F.broadcast(cut)).where("n_chars >= 50 AND ppl <= cut").groupBy("source").agg(F.count("*").alias("n"))
 
 
@@ -209,10 +211,8 @@ def bio_spans(spark: SparkSession, d: str) -> DataFrame:
 def topk_inner_product(spark: SparkSession, d: str) -> DataFrame:
     """The four facts of greatest inner product for each stated query; queries are the small side."""
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    q = F.broadcast(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("e").alias("x")))
-    score = F.round(F.aggregate(F.zip_with("x", "e", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p), 9)
-    both = v.crossJoin(q).where("q <> vec_id").select("q", "vec_id", score.alias("s"))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where("rank <= 4").select("q", "vec_id", F.col("rank").cast("long"))
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("e").alias("x"))
+    return L.top_products(asked, v, 4)
 
 
 @query("SELECT doc_id, len(list_filter(embedding, lambda x: abs(x) > 0.25)) AS clipped, len(embedding) AS n FROM (SELECT vec_id AS doc_id, embedding FROM embeddings)")

@@ -115,7 +115,7 @@ def order_rollup(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id FROM (SELECT doc_id, sum(n_chars) OVER (PARTITION BY lang ORDER BY md5('42:' || cast(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_chars AS before FROM documents) WHERE before < 20000")
 def token_ratio_trim(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", S.order_of(F.col("doc_id")).alias("o"))
-    return S.running_until(docs, ["lang"], ["o", "doc_id"], "n_chars", 20000).select("doc_id")
+    return S.running_until(docs, "lang", "o", "n_chars", 20000, ["doc_id"]).select("doc_id")
 
 
 @query(
