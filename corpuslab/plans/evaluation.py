@@ -174,7 +174,7 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return L.bootstrap(hits, "model_a", "hit", "event_id", 100)
 
 
-_SEG = "g AS (SELECT event_type AS k, user_id % 20 AS v, epoch(ts) AS a, epoch(ts) + event_id % 600 AS b FROM events)"
+_SEG = "g AS (SELECT user_id % 20 AS v, floor(epoch(ts)) AS a, floor(epoch(ts)) + event_id % 600 AS b FROM events)"
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
@@ -182,12 +182,22 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select((F.col("user_id") % 20).alias("v"), a.alias("a"), (a + F.col("event_id") % 600).alias("b"))
 
 
-@query()
+@query(
+    f"""WITH {_SEG}, u AS (SELECT *, max(b) OVER (PARTITION BY v ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto, row_number() OVER (PARTITION BY v ORDER BY a, b) AS i FROM g),
+ n AS (SELECT *, sum(CASE WHEN upto IS NULL OR a - upto > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY v ORDER BY i) AS island FROM u) SELECT v, min(a) AS a, max(b) AS b, count(*) AS n FROM n GROUP BY v, island"""
+)
 def merge_segments_gap(spark: SparkSession, d: str) -> DataFrame:
     return L.merge_gaps(_segments(spark, d), "v", "a", "b", 300.0).select("v", "a", "b", "n")
 
 
-@query()
+_JOINS = "s.a - r.b <= 300 AND s.b - r.a <= 1800"
+
+
+@query(
+    f"""WITH RECURSIVE {_SEG}, s AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY a, b) AS i FROM g), r AS (SELECT v, i, a, b, 0 AS k FROM s WHERE i = 1
+ UNION ALL SELECT s.v, s.i, CASE WHEN {_JOINS} THEN r.a ELSE s.a END, CASE WHEN {_JOINS} THEN greatest(r.b, s.b) ELSE s.b END, CASE WHEN {_JOINS} THEN r.k ELSE r.k + 1 END FROM r JOIN s ON s.v = r.v AND s.i = r.i + 1)
+ SELECT v, min(a) AS a, max(b) AS b FROM r GROUP BY v, k"""
+)
 def merge_segments_capped(spark: SparkSession, d: str) -> DataFrame:
     return L.merge_capped(_segments(spark, d), "v", "a", "b", 300.0, 1800.0)
 
