@@ -4,9 +4,10 @@ Each vector, less the mean, is normalised and rotated by a random orthogonal map
 has, for closer estimates); its code is the signs, packed into 64-bit words. A query is rotated alike and rounded to
 ``PLANES`` bits a dimension, kept as as many packed planes, so the inner product of code and query is a sum of population
 counts of code AND plane. With the norm and one correction scalar (the inner product of the rotated vector and its code) it
-estimates the inner product with the query without bias, and bounds its error: each code gives a lower and an upper bound of
-the squared distance. Vectors whose lower bound is not above the ``k``-th smallest upper bound of their query are reranked: only
-they are fetched, and the ``k`` least by exact distance, in double precision, are the result.
+estimates the inner product with the query without bias, and bounds its error: each code gives an estimate and a lower bound of
+the squared distance. The ``k`` vectors of the least estimates of each query are fetched first; their greatest exact distance is
+one that the ``k``-th nearest can't exceed. Then those whose lower bound is not above it are reranked: only they are fetched,
+and the ``k`` least by exact distance, in double precision, are the result.
 
 The code table (vec_id, code, norm, correction) is the index of all vectors, written once; it holds no vector. Queries go out
 in blocks of about ``BLOCK``, each read and broadcast by itself, so neither the driver nor a broadcast holds more than a block.
@@ -19,7 +20,7 @@ vec_id comes first. With fewer than ``k`` candidates all are returned. Other col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import shared_folder, written
 
 #: Code bits for each dimension, and standard errors within which an estimate is taken to be.
-BITS_PER_DIMENSION, ERRORS = 4, 2.5
+BITS_PER_DIMENSION, ERRORS = 8, 2.5
 PLANES = 4
 BLOCK = 2048
 _STEP = 1024
@@ -102,7 +103,7 @@ class Queries:
         self.squares, self.bits = ((x - centre) ** 2).sum(1), turned.shape[1]
 
     def bounds(self, code: np.ndarray, norm: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of the squared distances of the codes (rows of 64-bit words) from the queries (columns)."""
+        """Estimates and lower bounds of the squared distances of the codes (rows of 64-bit words) from the queries (columns)."""
         ones = np.bitwise_count(code).sum(1, dtype=np.int32)
         counted = np.zeros((len(code), len(self.ids)), np.int32)
         for p, plane in enumerate(self.planes):
@@ -113,25 +114,16 @@ class Queries:
         off = np.sqrt(np.maximum(1 - fit**2, 0) / fit**2 / (self.bits - 1))[:, None] * np.sqrt(self.squares)
         error = ERRORS * np.sqrt(off**2 + (self.step**2 / 12) / fit[:, None] ** 2)
         middle = (norm**2)[:, None] + self.squares
-        return middle - 2 * norm[:, None] * (inner + error), middle - 2 * norm[:, None] * (inner - error) + 1e-12
+        return middle - 2 * norm[:, None] * inner, middle - 2 * norm[:, None] * (inner + error)
 
 
-def _search(codes: DataFrame, vectors: DataFrame, centre: dict[int, np.ndarray], queries: DataFrame, k: int) -> DataFrame:
-    rows = queries.toPandas()
-    by = rows.groupby(rows["embedding"].map(len))
-    block = {int(d): Queries(part["vec_id"].to_numpy(np.int64), np.stack(part["embedding"].to_numpy()), centre[int(d)]) for d, part in by}
+def _scan(codes: DataFrame, block: dict[int, Queries], each: Callable[[], tuple[Callable, Callable]]) -> DataFrame:
+    """query_id, vec_id and estimate that ``each`` makes of a task's codes: a pair of what takes (length, ids, estimates, lower bounds) and what gives (query positions, ids, estimates) of a length at the end."""
     shared = codes.sparkSession.sparkContext.broadcast(block)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The k least upper bounds of each query so far, and what passed the greatest of them when it was met.
-        least = {d: np.full((k, len(q.ids)), np.inf) for d, q in shared.value.items()}
-        held: dict[int, list[tuple[np.ndarray, ...]]] = {d: [] for d in shared.value}
-
-        def thinned(d: int) -> tuple[np.ndarray, ...]:
-            of, vec, low, high = (np.concatenate(x) for x in zip(*held[d], strict=True))
-            kept = low <= least[d][-1][of]
-            return of[kept], vec[kept], low[kept], high[kept]
-
+        take, give = each()
+        rows_of = lambda d, found: pa.RecordBatch.from_arrays([pa.array(shared.value[d].ids[found[0]]), pa.array(found[1]), pa.array(found[2])], ["query_id", "vec_id", "estimate"])
         for batch in batches:
             ids, length = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy()
             norm, fit = batch.column(3).to_numpy(), batch.column(4).to_numpy()
@@ -140,30 +132,74 @@ def _search(codes: DataFrame, vectors: DataFrame, centre: dict[int, np.ndarray],
                 for i in range(0, len(rows), _STEP):
                     part = rows[i : i + _STEP]
                     code = np.frombuffer(b"".join(batch.column(2).take(pa.array(part)).to_pylist()), np.uint64).reshape(len(part), -1)
-                    low, high = q.bounds(code, norm[part], fit[part])
+                    estimate, low = q.bounds(code, norm[part], fit[part])
                     own = ids[part][:, None] == q.ids
-                    low[own] = high[own] = np.inf
-                    least[d] = np.sort(np.concatenate([least[d], high]), axis=0)[:k]
-                    at, of = np.nonzero((low <= least[d][-1]) & ~own)
-                    held[d].append((of, ids[part][at], low[at, of], high[at, of]))
-                    if sum(len(h[0]) for h in held[d]) > 1 << 20:
-                        held[d] = [thinned(d)]
-        for d, q in shared.value.items():
-            if held[d]:
-                of, vec, low, high = thinned(d)
-                yield pa.RecordBatch.from_arrays([pa.array(q.ids[of]), pa.array(vec), pa.array(low), pa.array(high)], ["query_id", "vec_id", "low", "high"])
-
-    found = written(codes.mapInArrow(search, "query_id bigint, vec_id bigint, low double, high double"), "candidates")
-    by_high = Window.partitionBy("query_id").orderBy("high", "vec_id")
-    worst = found.withColumn("n", F.row_number().over(by_high)).where(F.col("n") <= k).groupBy("query_id").agg(F.max("high").alias("worst"), F.max("n").alias("n"))
-    # With fewer than k all stay.
-    pairs = found.join(worst, "query_id").where((F.col("low") <= F.col("worst")) | (F.col("n") < k)).select("query_id", "vec_id").distinct()
+                    estimate[own] = low[own] = np.inf
+                    found = take(d, ids[part], estimate, low)
+                    if found is not None:
+                        yield rows_of(d, found)
+        for d in shared.value:
+            found = give(d)
+            if found is not None:
+                yield rows_of(d, found)
+
+    return codes.mapInArrow(search, "query_id bigint, vec_id bigint, estimate double")
+
+
+def _exact(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, vec_id and score of the pairs (query_id, vec_id), one row for each vector of the id."""
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    exact = pairs.join(vectors, "vec_id").join(asked, "query_id").where(F.size("asked") == F.size("embedding"))
+    both = pairs.join(vectors, "vec_id").join(asked, "query_id").where(F.size("asked") == F.size("embedding"))
     square = F.zip_with("asked", "embedding", lambda a, b: (a - b.cast("double")) * (a - b.cast("double")))
-    exact = exact.select("query_id", "vec_id", F.sqrt(F.aggregate(square, F.lit(0.0), lambda t, x: t + x)).alias("score"))
-    ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return both.select("query_id", "vec_id", F.sqrt(F.aggregate(square, F.lit(0.0), lambda t, x: t + x)).alias("score"))
+
+
+def _first(df: DataFrame, value: str, k: int) -> DataFrame:
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(value, "vec_id")))
+    return ranked.where(F.col("rank") <= k)
+
+
+def _search(codes: DataFrame, vectors: DataFrame, centre: dict[int, np.ndarray], queries: DataFrame, k: int) -> DataFrame:
+    rows = queries.toPandas()
+    by = rows.groupby(rows["embedding"].map(len))
+    block = {int(d): Queries(part["vec_id"].to_numpy(np.int64), np.stack(part["embedding"].to_numpy()), centre[int(d)]) for d, part in by}
+
+    def least() -> tuple[Callable, Callable]:
+        """The ``k`` least estimates of each query in the task."""
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def take(d: int, ids: np.ndarray, estimate: np.ndarray, _: np.ndarray) -> None:
+            vec = np.broadcast_to(ids[:, None], estimate.shape)
+            if d in best:
+                estimate, vec = np.concatenate([best[d][0], estimate]), np.concatenate([best[d][1], vec])
+            first = np.argpartition(estimate, min(k, len(estimate)) - 1, axis=0)[:k]
+            best[d] = np.take_along_axis(estimate, first, 0), np.take_along_axis(vec, first, 0)
+
+        def give(d: int) -> tuple[np.ndarray, ...] | None:
+            if d not in best:
+                return None
+            at, of = np.nonzero(np.isfinite(best[d][0]))
+            return of, best[d][1][at, of], best[d][0][at, of]
+
+        return take, give
+
+    # k rows at most for each query and task go on; of the queries' distances one number each comes to the driver.
+    probes = _first(_scan(codes, block, least), "estimate", k).select("query_id", "vec_id").distinct()
+    reach = _first(_exact(probes, vectors, queries), "score", k).groupBy("query_id").agg(F.max("score").alias("score"), F.count("*").alias("n")).collect()
+    far = {r["query_id"]: r["score"] ** 2 * (1 + 1e-9) + 1e-12 for r in reach if r["n"] == k}
+    most = {d: np.array([far.get(i, np.inf) for i in q.ids.tolist()]) for d, q in block.items()}
+
+    def near() -> tuple[Callable, Callable]:
+        """All whose lower bound is within reach."""
+
+        def take(d: int, ids: np.ndarray, estimate: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
+            at, of = np.nonzero((low <= most[d]) & np.isfinite(low))
+            return of, ids[at], estimate[at, of]
+
+        return take, lambda _: None
+
+    pairs = _scan(codes, block, near).select("query_id", "vec_id").distinct()
+    return _first(_exact(pairs, vectors, queries), "score", k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10) -> DataFrame:
