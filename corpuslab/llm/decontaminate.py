@@ -9,7 +9,7 @@ the radius are compared in full, and a window whose exact weighted Jaccard simil
 is a leak.
 
 At a similarity of 0.8 fingerprints differ in some 29 of 192 bits, with a standard deviation of 5; the radius is 47. Of
-unlike fingerprints a block lists one in 95, all blocks one in 8, and none in 10 ** 11 lies within the radius.
+unlike fingerprints a block lists one in 95, all blocks one in 7, and none in 10 ** 11 lies within the radius.
 
 A window that is as similar shares a shingle with the item, so fingerprints are made only around the items' shingles; this
 loses nothing, and without it each word would need a fingerprint for each length of an item. Items go out in blocks of at

@@ -43,7 +43,7 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of ``documents``, read back through the last manifest; ``shards`` tells how many files that names."""
+    """Every row of ``documents``, read back through the last manifest."""
     dataset = shard(table(spark, sf_dir, "documents"), target_bytes=32 << 20)
     return dataset.read().select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
 

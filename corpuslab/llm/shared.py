@@ -67,7 +67,7 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
 
 
 def steps(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``most`` bytes of text, one row at least."""
+    """The same rows in slices of about ``most`` bytes of text, one row at least. What Arrow holds in reserve goes back at the end, as workers live on."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -76,6 +76,7 @@ def steps(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = STE
         edges = np.flatnonzero(np.diff(step)) + 1
         for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 class Words:
@@ -227,9 +228,9 @@ class WordWeights:
                     continue
                 row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
                 held.append((word, np.bincount(np.unique(row * len(word) + code) % len(word), minlength=len(word))))
-                if sum(len(h[0]) for h in held) > 1 << 20:
+                if sum(len(h[0]) for h in held) > 1 << 19:
                     held = [merged()]
-                    if len(held[0][0]) > 1 << 19:
+                    if len(held[0][0]) > 1 << 18:
                         yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["word", "df"])
                         held = []
             if held:
