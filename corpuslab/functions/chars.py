@@ -105,3 +105,30 @@ def known_windows(df: DataFrame, text: str, n: int, known: list[str]) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(sorted(hits & texts), pa.string())], ["gram"])
 
     return df.select(text).mapInArrow(found, "gram string")
+
+
+def repeated_windows(text: Column, n: int) -> Column:
+    """Of the runs of ``n`` words of a text: how many occur more than once in it (``repeated``), and how many there are (``total``); null of null. Words are told apart by their places in a batch's vocabulary, runs by 64-bit hashes of these."""
+
+    @F.arrow_udf("repeated bigint, total bigint")
+    def counted(column: pa.Array) -> pa.Array:
+        split = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.large_string()), ""))
+        flat = split.flatten().dictionary_encode()
+        codes, offsets = flat.indices.to_numpy().astype(np.int64), split.offsets.to_numpy().astype(np.int64)
+        kept = codes != pc.index(flat.dictionary, pa.scalar("", pa.large_string())).as_py()
+        offsets = np.concatenate([[0], np.cumsum(kept)])[offsets - offsets[0]]
+        codes = codes[kept]
+        row = np.repeat(np.arange(len(column)), np.diff(offsets))
+        at = np.flatnonzero(offsets[1:][row] - np.arange(len(codes)) >= n)
+        own, row = window_hashes(codes, n)[at], row[at]
+        order = np.lexsort((own, row))
+        own, row = own[order], row[order]
+        same = (own[1:] == own[:-1]) & (row[1:] == row[:-1])
+        twice = np.zeros(len(own), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        counts = [np.bincount(row[twice], minlength=len(column)), np.bincount(row, minlength=len(column))]
+        fields = [pa.field(name, pa.int64()) for name in ("repeated", "total")]
+        return pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in counts], fields=fields, mask=pc.is_null(column))
+
+    return counted(text)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow as A
 from ..functions import text as T
-from ..functions.chars import CLASSES, class_counts
+from ..functions.chars import CLASSES, class_counts, repeated_windows
 from ..operators import contamination as C
 from ..operators import dedup as D
 from ..operators import gates as G
@@ -147,8 +147,8 @@ def foreign_blocks(spark: SparkSession, d: str) -> DataFrame:
  c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL) SELECT doc_id, cast(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS repeated, cast(sum(n) AS BIGINT) AS total FROM c GROUP BY doc_id"""
 )
 def repeated_ngram_ratio(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", T.repeated_ngrams(F.col("text"), 10).alias("x")).select("doc_id", "x.*")
-    return docs.where("total > 0").select("doc_id", F.col("repeated").cast("long"), F.col("total").cast("long"))
+    docs = table(spark, d, "documents").select("doc_id", repeated_windows(F.col("text"), 10).alias("x")).select("doc_id", "x.*")
+    return docs.where("total > 0").select("doc_id", "repeated", "total")
 
 
 @query("SELECT doc_id, md5(nfc_normalize(t)) AS h FROM (SELECT doc_id, concat(text, 'e', chr(769)) AS t FROM documents)")

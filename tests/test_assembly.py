@@ -9,7 +9,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslab.functions import arrow, chars
+from corpuslab.functions import arrow, chars, text
 from corpuslab.operators import assembly, contamination, dedup, gates, gec, language, leaderboard, pairs, quality
 from corpuslab.profile import LATIN
 from corpuslab.sources import readers, writers
@@ -141,6 +141,15 @@ def test_classes_and_windows(spark):
     assert near == far and len(near) == 20 and 0 < sum(r[2] for r in near) < sum(r[1] for r in near)
 
 
+def test_repeated_runs_of_words(spark):
+    rows = ["a b a b c", " a  b\ta b ", "a", "", None, "x y z x y z x y"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    found = [tuple(r.x) if r.x else None for r in df.select(chars.repeated_windows(F.col("t"), 2).alias("x")).collect()]
+    assert found == [(2, 4), (2, 3), (0, 0), (0, 0), None, (7, 7)]
+    again = [(r.x.repeated, r.x.total) for r in df.where("t IS NOT NULL").select(text.repeated_ngrams(F.col("t"), 2).alias("x")).collect()]
+    assert again == [x for x in found if x]
+
+
 def test_order_statistics(spark):
     rng = random.Random(3)
     rows = [(g, rng.choice([rng.random() * 1e6, 5.0, 7.0])) for g in "ab" for _ in range(700)] + [("c", 1.0), ("d", None)]
