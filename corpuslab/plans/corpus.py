@@ -290,11 +290,11 @@ def class_balance(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT lang, greatest(1, least(50, floor(500 / count(*)))) AS k FROM documents GROUP BY lang)
+    """WITH c AS (SELECT lang, greatest(1, least(50, floor(50000 / count(*)))) AS k FROM documents GROUP BY lang)
  SELECT doc_id, cast(unnest(range(1, cast(k AS BIGINT) + 1)) AS INT) AS copy FROM documents JOIN c USING (lang)"""
 )
 def upsample(spark: SparkSession, d: str) -> DataFrame:
-    return S.upsample(table(spark, d, "documents"), "lang", 500, 50).select("doc_id", "copy")
+    return S.upsample(table(spark, d, "documents"), "lang", 50_000, 50).select("doc_id", "copy")
 
 
 @query(
