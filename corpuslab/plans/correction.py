@@ -13,6 +13,7 @@ from ..operators import gec as C
 from ..operators import pairs as R
 from ..operators import structure as E
 from ..profile import LATIN
+from ..sources.work import saved
 from .registry import edit_distance, query, table
 from .structure import _SENT
 
@@ -29,16 +30,18 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
         swapped = F.when(F.size(w) >= 2, F.array_join(F.concat(F.array(F.get(w, 1), F.get(w, 0)), F.slice(w, F.lit(3), F.greatest(F.size(w), F.lit(1)))), " ")).otherwise(s)
         return F.when(k == 0, s).when(k == 1, F.array_join(F.filter(w, lambda _, i: i != 1), " ")).when(k == 2, F.lower(s)).when(k == 3, swapped).otherwise(F.replace(s, F.lit("th"), F.lit("t")))
 
-    return rows.withColumn("t", T.let(T.words(s), changed))
+    return saved(rows.withColumn("t", T.let(T.words(s), changed)))  # else each use of t would make it again
 
 
 _LW = r"regexp_extract_all(lower({0}), '\S+')"
-_NEG = rf"""len({_LW.format("s")}) = len({_LW.format("t")}) AND len(list_filter(range(1, len({_LW.format("s")}) + 1), lambda i: {_LW.format("s")}[i] <> {_LW.format("t")}[i] AND regexp_matches({_LW.format("s")}[i], 'un|th') <> regexp_matches({_LW.format("t")}[i], 'un|th')
- AND len(list_filter(range(1, least(length({_LW.format("s")}[i]), length({_LW.format("t")}[i])) + 1), lambda j: substr({_LW.format("s")}[i], j, 1) = substr({_LW.format("t")}[i], j, 1))) >= 2)) > 0"""
+#: The pairs with their lower-case words, listed once.
+_LISTED = f"q AS (SELECT *, {_LW.format('s')} AS ls, {_LW.format('t')} AS lt FROM p)"
+_NEG = """len(ls) = len(lt) AND len(list_filter(list_zip(ls, lt), lambda x: x[1] <> x[2] AND regexp_matches(x[1], 'un|th') <> regexp_matches(x[2], 'un|th')
+ AND len(list_filter(range(1, least(length(x[1]), length(x[2])) + 1), lambda j: substr(x[1], j, 1) = substr(x[2], j, 1))) >= 2)) > 0"""
 _AFFIXES = ("un", "th")
 
 
-@query(f"WITH {_PAIRS} SELECT doc_id, sent_idx, {_NEG} AS shifted FROM p")
+@query(f"WITH {_PAIRS}, {_LISTED} SELECT doc_id, sent_idx, {_NEG} AS shifted FROM q")
 def negation_shifts(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("doc_id", "sent_idx", F.coalesce(C.negation_shift(F.col("s"), F.col("t"), _AFFIXES), F.lit(False)).alias("shifted"))
 
@@ -49,7 +52,7 @@ _VALID = rf"""CASE WHEN regexp_replace(s, '^\s+|\s+$', '', 'g') = '' OR regexp_r
  WHEN len(list_intersect({_LW.format("s")}, {_LW.format("t")})) / greatest(len(list_distinct({_LW.format("s")})), 1) < 0.45 THEN 'overlap' WHEN {_NEG} THEN 'negation' WHEN {edit_distance('s', 't')} > greatest(16, floor(length(s) * 0.35)) THEN 'too_far' ELSE 'ok' END"""
 
 
-@query(f"WITH {_PAIRS} SELECT reason, count(*) AS n FROM (SELECT {_VALID} AS reason FROM p) GROUP BY reason")
+@query(f"WITH {_PAIRS}, {_LISTED} SELECT reason, count(*) AS n FROM (SELECT {_VALID} AS reason FROM q) GROUP BY reason")
 def pair_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Of all documents' sentences, with the negation gate."""
     s, t = F.col("s"), F.col("t")
