@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import symbols as S
+from ..sources.work import removed, saved, work_folder
 from .sampling import order_of
 
 
@@ -94,26 +96,37 @@ def chinchilla(tokens: Column) -> Column:
     return tokens / 20
 
 
+#: Merges after which words are written anew. Until then each count makes them again.
+_REWRITE = 8
+
+
 def train_merges(df: DataFrame, words: Column, merges: int) -> list[tuple[str, str]]:
-    """A BPE vocabulary's merges: words are counted by Spark; pairs are merged on the driver, over distinct words. Ties go to the smaller pair."""
-    rows = df.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
-    held = [(list(r.w), r.n) for r in rows]
+    """A BPE vocabulary's merges: words and, for each merge, the pairs in distinct words are counted by Spark; only the best pair comes to the driver. Ties go to the smaller pair."""
+    spark = df.sparkSession
+    counted = df.select(F.explode(words).alias("w")).where(F.length("w") > 1).groupBy("w").agg(F.count("*").alias("n"))
+    folder = work_folder(spark)
+    blocks = saved(counted.mapInArrow(S.word_blocks, S.BLOCK), folder)
     out: list[tuple[str, str]] = []
-    for _ in range(merges):
-        counts: dict[tuple[str, str], int] = {}
-        for w, n in held:
-            for pair in zip(w, w[1:], strict=False):
-                counts[pair] = counts.get(pair, 0) + n
-        if not counts:
+    texts: list[str] = []
+    ids: dict[str, int] = {}
+    rules: list[S.Rule] = []
+    while len(out) < merges:
+        if len(rules) == _REWRITE:
+            last, folder = folder, work_folder(spark)
+            blocks = saved(blocks.mapInArrow(lambda x, rules=tuple(rules): S.merged_blocks(x, rules), S.BLOCK), folder)
+            removed(spark, last)
+            rules = []
+        pairs = blocks.mapInArrow(lambda x, rules=tuple(rules), texts=tuple(texts): S.pair_counts(x, rules, texts), "a string, b string, n bigint")
+        best = pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").limit(1).collect()
+        if not best:
             break
-        best = min(counts, key=lambda p: (-counts[p], p))
-        out.append(best)
-        for w, _ in held:
-            i = 0
-            while i < len(w) - 1:
-                if (w[i], w[i + 1]) == best:
-                    w[i : i + 2] = [w[i] + w[i + 1]]
-                i += 1
+        a, b, _ = best[0]
+        out.append((a, b))
+        if a + b not in ids:  # several pairs may make one text, which is one symbol
+            texts.append(a + b)
+            ids[a + b] = S.END + len(texts)
+        rules.append((*(ids[x] if len(x) > 1 else ord(x) for x in (a, b)), ids[a + b]))
+    removed(spark, folder)
     return out
 
 

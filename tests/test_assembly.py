@@ -5,6 +5,7 @@ import json
 import math
 import random
 import tarfile
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,3 +184,52 @@ def test_merges(spark):
     df = spark.createDataFrame([("low low lower newest newest widest",)], "t string")
     assert assembly.train_merges(df, F.split("t", " "), 2) == [("e", "s"), ("es", "t")]
     assert LATIN.name == "latin"
+
+
+def merges_by_loop(words, merges):
+    """As train_merges, over lists."""
+    held, out = [(list(w), n) for w, n in words.items()], []
+    for _ in range(merges):
+        counts = {}
+        for w, n in held:
+            for pair in zip(w, w[1:], strict=False):
+                counts[pair] = counts.get(pair, 0) + n
+        if not counts:
+            break
+        best = min(counts, key=lambda p: (-counts[p], p))
+        out.append(best)
+        for w, _ in held:
+            i = 0
+            while i < len(w) - 1:
+                if (w[i], w[i + 1]) == best:
+                    w[i : i + 2] = [w[i] + w[i + 1]]
+                i += 1
+    return out
+
+
+@pytest.mark.parametrize("letters,merges", [("ab", 30), ("aé\U0001f600\uffff", 18)])
+def test_merges_equal_a_loop(spark, letters, merges):
+    rng = random.Random(merges)
+    rows = [[("".join(rng.choices(letters, k=rng.randrange(12)))) for _ in range(rng.randrange(9))] for _ in range(60)] + [None, [], ["", "a"], ["aaaaaaa", "a\0b"]]
+    words = {}
+    for w in (w for r in rows if r for w in r):
+        words[w] = words.get(w, 0) + 1
+    found = assembly.train_merges(spark.createDataFrame([(r,) for r in rows], "w array<string>"), F.col("w"), merges)
+    assert found == merges_by_loop(words, merges)
+
+
+def test_merges_end_with_the_pairs(spark):
+    df = spark.createDataFrame([(["aaa", "b"],), ([],)], "w array<string>")
+    assert assembly.train_merges(df, F.col("w"), 9) == [("a", "a"), ("aa", "a")]
+    assert assembly.train_merges(df.limit(0), F.col("w"), 9) == []
+
+
+def test_merges_hold_no_words_in_the_driver(spark):
+    """A hundred thousand distinct words took 88 MB."""
+    df = spark.range(100_000).select(F.array(F.md5(F.col("id").cast("string"))).alias("w"))
+    tracemalloc.start()
+    try:
+        assert len(assembly.train_merges(df, F.col("w"), 1)) == 1
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    finally:
+        tracemalloc.stop()
